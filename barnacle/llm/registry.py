@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import binary, packing, sharding
 
-MODULES = [sharding]
+MODULES = [binary, packing, sharding]
 
 
 def queries() -> dict:
