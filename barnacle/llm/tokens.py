@@ -13,8 +13,8 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Chunks that one Python worker keeps.
-CACHE = 1_000_000
+#: Chunks that one Python worker keeps, and the longest of them.
+CACHE, LONGEST = 1_000_000, 64
 #: A space between white space and white space or the end.
 JOINED = re.compile(r"(?<=\s) (?=\s|\Z)")
 
@@ -26,9 +26,14 @@ class ChunkCache(dict):
         self.encode = encode
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        self[chunk] = out = np.array(self.encode(chunk), "<u4").tobytes()
+        return self.keep(chunk, chunk)
+
+    def keep(self, chunk: str, text: str) -> bytes:
+        out = np.array(self.encode(text), "<u4").tobytes()
+        if len(chunk) <= LONGEST:
+            if len(self) >= CACHE:
+                self.clear()
+            self[chunk] = out
         return out
 
     def ids(self, text: str) -> bytes:
@@ -44,10 +49,7 @@ class SpacedCache(ChunkCache):
     """For byte-level vocabularies, where the space is part of the token."""
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        self[chunk] = out = np.array(self.encode(" " + chunk), "<u4").tobytes()
-        return out
+        return self.keep(chunk, " " + chunk)
 
     def ids(self, text: str) -> bytes:
         if not text:
