@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import binary, packing, sharding
+from . import binary, bpe, neardup, packing, sharding, vectors
 
-MODULES = [binary, packing, sharding]
+MODULES = [binary, bpe, neardup, packing, sharding, vectors]
 
 
 def queries() -> dict:
