@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import binary, bpe, neardup, packing, sharding, urls, vectors
+from . import binary, bpe, neardup, packing, sharding, toxicity, urls, vectors
 
-MODULES = [binary, bpe, neardup, packing, sharding, urls, vectors]
+MODULES = [binary, bpe, neardup, packing, sharding, toxicity, urls, vectors]
 
 
 def queries() -> dict:
