@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import binary, bpe, neardup, packing, quality, sharding, toxicity, urls, vectors
+from . import binary, bpe, kneser, neardup, packing, quality, sharding, toxicity, urls, vectors
 
-MODULES = [binary, bpe, neardup, packing, quality, sharding, toxicity, urls, vectors]
+MODULES = [binary, bpe, kneser, neardup, packing, quality, sharding, toxicity, urls, vectors]
 
 
 def queries() -> dict:
