@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import cut, shared_dir, table
+from .tokens import BLOCK as TEXTS
 from .tokens import cache_of
 
 BLOCK, PERCENTILE, MAGIC = 4096, 95, b"BNCLPFR1"
@@ -135,12 +136,14 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     """Files of the ids of docs (doc_id, text) at a path, in ascending doc_id order of file names and in each file."""
 
     def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, end, writer = cache_of(tokenizer, False), end_id.to_bytes(4, "little"), Writer()
+        cache, end, writer = cache_of(tokenizer), end_id.to_bytes(4, "little"), Writer()
         row = lambda x: pa.record_batch([pa.array([x], pa.binary())], ["value"])
         for b in batches:
-            for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"]):
-                if out := writer.add(doc_id, np.frombuffer(cache.ids(text.as_py()) + end, "<u4")):
-                    yield row(out)
+            for lo in range(0, len(b), TEXTS):
+                part = b.slice(lo, TEXTS)
+                for doc_id, ids in zip(part["doc_id"].to_pylist(), cache.ids(part["text"].to_pylist())):
+                    if out := writer.add(doc_id, np.frombuffer(ids + end, "<u4")):
+                        yield row(out)
         if writer.docs:
             yield row(writer.finish())
 

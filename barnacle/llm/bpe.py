@@ -18,12 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .tokens import SpacedCache
+from .tokens import BLOCK, TokenCache
 
 #: Entries of the memo tables of one Python worker, and the longest piece that they hold.
 MEMO, LONGEST = 1_000_000, 24
@@ -31,16 +30,16 @@ LEAF = 4096
 
 
 class Bpe:
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.memo: dict[bytes, list[int]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
 
     @classmethod
-    def from_file(cls, path: str, pattern: str) -> Bpe:
+    def from_file(cls, path: str) -> Bpe:
         with open(path, "rb") as f:
-            return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
+            return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 
     def merge(self, data: bytes) -> list[int]:
         """Plain BPE of a short window: the pair of the lowest rank first, the leftmost of equals."""
@@ -85,13 +84,10 @@ class Bpe:
             self.memo[data] = out
         return out
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for piece in self.pattern.findall(text):
-            data = piece.encode()
-            whole = self.ranks.get(data)
-            out += self.tree(data) if whole is None else [whole]
-        return out
+    def piece(self, piece: str) -> list[int]:
+        data = piece.encode()
+        whole = self.ranks.get(data)
+        return self.tree(data) if whole is None else [whole]
 
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= LEAF:
@@ -100,13 +96,13 @@ class Bpe:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
-_loaded: dict[tuple[str, str], tuple[Bpe, SpacedCache]] = {}
+_loaded: dict[tuple[str, str], tuple[Bpe, TokenCache]] = {}
 
 
-def loaded(path: str, pattern: str) -> tuple[Bpe, SpacedCache]:
+def loaded(path: str, pattern: str) -> tuple[Bpe, TokenCache]:
     if (path, pattern) not in _loaded:
-        bpe = Bpe.from_file(path, pattern)
-        _loaded[path, pattern] = bpe, SpacedCache(bpe.encode)
+        bpe = Bpe.from_file(path)
+        _loaded[path, pattern] = bpe, TokenCache(lambda pieces: [bpe.piece(p) for p in pieces], pattern, True)
     return _loaded[path, pattern]
 
 
@@ -116,9 +112,9 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, cache = loaded(ranks, pattern)
         for b in batches:
-            for at in range(0, len(b), 1000):
-                part = b.slice(at, 1000)
-                ids = [cache.ids(t) for t in part["text"].to_pylist()]
+            for at in range(0, len(b), BLOCK):
+                part = b.slice(at, BLOCK)
+                ids = cache.ids(part["text"].to_pylist())
                 decoded = [bpe.decode(np.frombuffer(x, "<u4").tolist()) for x in ids]
                 yield pa.record_batch([part["doc_id"], pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
 
@@ -132,11 +128,11 @@ def digests(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
         bpe, cache = loaded(ranks, pattern)
         for b in batches:
             n, a, d = [], [], []
-            for t in b["text"]:
-                ids = cache.ids(t.as_py())
-                n.append(len(ids) // 4)
-                a.append(hashlib.sha256(ids).hexdigest())
-                d.append(hashlib.sha256(bpe.decode(np.frombuffer(ids, "<u4").tolist())).hexdigest())
+            for at in range(0, len(b), BLOCK):
+                for ids in cache.ids(b["text"].slice(at, BLOCK).to_pylist()):
+                    n.append(len(ids) // 4)
+                    a.append(hashlib.sha256(ids).hexdigest())
+                    d.append(hashlib.sha256(bpe.decode(np.frombuffer(ids, "<u4").tolist())).hexdigest())
             yield pa.record_batch([b["doc_id"], pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(partition, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored, table
-from .tokens import cache_of
+from .tokens import BLOCK, cache_of
 
 WINDOWS, LENGTH, MERGE = 32, 1024, 64
 #: First sequence_id of merged leftovers; those of partition p start at p << 36.
@@ -111,13 +111,15 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = LENGTH,
     end = end_id.to_bytes(4, "little")
 
     def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, part = cache_of(tokenizer, True), TaskContext.get().partitionId()
+        cache, part = cache_of(tokenizer), TaskContext.get().partitionId()
         rows = Rows(part << 36, part, keep_ids)
         packer = Packer(rows.sequence, length, windows)
         for b in batches:
-            for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"]):
-                packer.add(doc_id, cache.ids(text.as_py()) + end)
-            yield rows.batch()
+            for lo in range(0, len(b), BLOCK):
+                part = b.slice(lo, BLOCK)
+                for doc_id, ids in zip(part["doc_id"].to_pylist(), cache.ids(part["text"].to_pylist())):
+                    packer.add(doc_id, ids + end)
+                yield rows.batch()
         rows.sequence(packer.finish(), leftover=True)
         yield rows.batch()
 

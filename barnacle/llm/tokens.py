@@ -1,77 +1,107 @@
-"""Token ids of whole texts through the tokenizers library, one cached call for each distinct chunk.
+"""Token ids of whole texts, with one cached encoding for each distinct piece.
 
 A chunk is what stands between two spaces, with the space before it. The pre-tokenizers of the supported vocabularies
 always end a piece before a space, so chunks can be encoded apart, but for a space with white space on both sides; a
-text that has one is encoded whole.
+text that has one is split as a whole. A chunk is split by the vocabulary's own pattern, and pieces that are new are
+encoded in one call for each block of texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
+import regex
 
-#: Chunks that one Python worker keeps, and the longest of them.
-CACHE, LONGEST = 1_000_000, 64
+#: Chunks and pieces that one Python worker keeps, the longest of them, and texts in a block.
+CHUNKS, PIECES, LONGEST, BLOCK = 600_000, 800_000, 64, 400
 #: A space between white space and white space or the end.
 JOINED = re.compile(r"(?<=\s) (?=\s|\Z)")
-
-
-class ChunkCache(dict):
-    """chunk -> its ids as little-endian unsigned 32-bit integers; encode is called for what is missing."""
-
-    def __init__(self, encode: Callable[[str], list[int]]):
-        self.encode = encode
-
-    def __missing__(self, chunk: str) -> bytes:
-        return self.keep(chunk, chunk)
-
-    def keep(self, chunk: str, text: str) -> bytes:
-        out = np.array(self.encode(text), "<u4").tobytes()
-        if len(chunk) <= LONGEST:
-            if len(self) >= CACHE:
-                self.clear()
-            self[chunk] = out
+#: Fixed value: the pattern that byte-level pre-tokenizers use when they name none.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def latin(text: str) -> bool:
+    """Whether a text has no characters beyond Latin-1, which lower() folds as the library does, and no combining ones."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+class TokenCache:
+    """Ids as little-endian unsigned 32-bit integers; encode gets lists of pieces.
+
+    spaced: a space belongs to the piece after it. lower: case doesn't matter to encode.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], pattern: str, spaced: bool, lower: bool = False):
+        self.encode, self.pattern, self.before, self.lower = encode, regex.compile(pattern), " " if spaced else "", lower
+        self.chunks: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        return {p: np.array(i, "<u4").tobytes() for p, i in zip(pieces, self.encode(pieces))}
+
+    def _block(self, texts: list[str]) -> list[bytes]:
+        if len(self.chunks) > CHUNKS:
+            self.chunks.clear()
+        if len(self.pieces) > PIECES:
+            self.pieces.clear()
+        # a chunk with a space in front is kept without it; what starts a text has a key of its own
+        split = [[t] if not t or JOINED.search(t) or self.lower and not latin(t) else t.split(" ") for t in texts]
+        new = set(chain.from_iterable(s[1:] for s in split)) - self.chunks.keys()
+        found = {c: self._split(self.before + c) for c in new}
+        heads = [self._split(s[0]) for s in split]
+        learnt = self._learn(list({p for ps in chain(found.values(), heads) for p in ps} - self.pieces.keys()))
+        known = self.pieces
+        known.update(learnt)
+        chunks = self.chunks
+        chunks.update((c, b"".join([known[p] for p in ps])) for c, ps in found.items())
+        out = [b"".join([*(known[p] for p in h), *map(chunks.__getitem__, s[1:])]) for h, s in zip(heads, split)]
+        for kept, keys in ((known, learnt), (chunks, found)):
+            for k in keys:
+                if len(k) > LONGEST:
+                    del kept[k]
         return out
 
-    def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if JOINED.search(text):
-            return np.array(self.encode(text), "<u4").tobytes()
-        first, *rest = text.split(" ")
-        return b"".join([self[first] if first else b"", *map(self.__getitem__, rest)])
-
-
-class SpacedCache(ChunkCache):
-    """For byte-level vocabularies, where the space is part of the token."""
-
-    def __missing__(self, chunk: str) -> bytes:
-        return self.keep(chunk, " " + chunk)
-
-    def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if JOINED.search(text):
-            return np.array(self.encode(text), "<u4").tobytes()
-        first, *rest = text.split(" ")
-        head = np.array(self.encode(first), "<u4").tobytes() if first else b""
-        return head + b"".join(map(self.__getitem__, rest))
+    def _split(self, text: str) -> list[str]:
+        """Pieces; a text that normalisation might change beyond its case is one."""
+        if self.lower and not latin(text):
+            return [text]
+        return self.pattern.findall(text)
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        out: list[bytes] = []
+        for lo in range(0, len(texts), BLOCK):
+            block = [t or "" for t in texts[lo : lo + BLOCK]]
+            out += self._block([t.lower() if latin(t) else t for t in block] if self.lower else block)
+        return out
 
 
-_caches: dict[str, ChunkCache] = {}
+_caches: dict[str, TokenCache] = {}
 
 
-def cache_of(path: str, spaced: bool) -> ChunkCache:
-    """This worker's cache for a tokenizer file; special tokens' strings in a text are ordinary text."""
+def cache_of(path: str) -> TokenCache:
+    """This worker's cache for a file of the tokenizers library; special tokens' strings in a text are ordinary text."""
     if path not in _caches:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path) as f:
+            made = json.load(f)
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
-        kind = SpacedCache if spaced else ChunkCache
-        _caches[path] = kind(lambda s: t.encode(s, add_special_tokens=False).ids)
+        parts = lambda x, key: [x, *x.get(key, [])] if x else []
+        split = [p["pattern"]["Regex"] for p in parts(made["pre_tokenizer"], "pretokenizers") if p["type"] == "Split"]
+        lower = any(p["type"] == "Lowercase" for p in parts(made["normalizer"], "normalizers"))
+        encode = lambda pieces: [e.ids for e in t.encode_batch_fast(pieces, add_special_tokens=False)]
+        _caches[path] = TokenCache(encode, split[0] if split else BYTE_LEVEL, not split, lower)
     return _caches[path]
