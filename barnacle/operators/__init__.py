@@ -1 +1 @@
-
+"""Matching and counting."""
