@@ -1,16 +1,12 @@
 """MinHash near-duplicates: fast similarity sketches, banding, and exact checks on whole shingle sets.
 
 Documents with equal shingle sets are one node from the start. Nodes that agree in a band of ROWS sketch coordinates share
-a bucket. Each bucket's least node leads it; every other node is compared with the leader by sketch. A node that agrees with the
-leader in LOOSE coordinates or more joins its canopy. Nodes that agree in less than TIGHT go through the bucket again
-among themselves, each compared with the leaders so far and leading in turn unless one is tight. Jaccard distance is
-a metric, so of two nodes at a distance of 0.2 or less the second is loose to any leader that the first is tight to, and
-each such pair that shares a bucket shares a canopy. With 32 bands of 4 a pair at the threshold shares no bucket with probability
-5e-8.
+a bucket; with 32 bands of 4 a pair at the threshold shares none with probability 5e-8. The least node of a bucket leads it, and the nodes of
+all buckets with one leader are its group.
 
-A canopy is checked on whole sets: all members against the leader, then those that aren't linked to it against
-all members, in blocks of BLOCK. A group of copies costs one check for each of its texts. No buckets, canopies or pairs are
-left out. Pairs are never collected or emitted: a block gives a spanning forest of its links.
+A group is checked on whole sets: all members against the leader first. What that links is joined to components, and only members outside their leader's
+component are then checked against all members, in blocks of BLOCK. A group of copies costs one check for each of its texts. No buckets,
+groups or pairs are left out. Pairs are never collected or emitted: a block gives a spanning forest of its links.
 
 Null and empty texts, and texts without words, have an empty set and no links. Rows with a null doc_id have no links, a null
 component_id, and are kept. Repeated rows have the same component and the same kept. An empty table gives an empty result.
@@ -29,7 +25,7 @@ from .common import cut, stored, table, words
 from .graph import components
 from .sketch import SIZE, fingerprint, shingles, sketch
 
-ROWS, LOOSE, TIGHT, BLOCK = 4, SIZE // 4, SIZE * 3 // 4, 256
+ROWS, BLOCK = 4, 256
 
 
 def elements(text: str | None, k: int) -> np.ndarray:
@@ -51,12 +47,6 @@ def _sketched(k: int) -> Callable:
     return partition
 
 
-def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        x, y = (np.frombuffer(b"".join(b[c].to_pylist()), "<u4").reshape(-1, SIZE) for c in ("x", "y"))
-        yield pa.record_batch([b["leader"], b["fp"], pa.array((x == y).sum(axis=1).astype(np.int32))], ["leader", "fp", "agree"])
-
-
 def groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple[tuple, list[dict]]]:
     """Key and rows of each run of rows with one key, of batches sorted by it."""
     now, rows = None, []
@@ -72,27 +62,6 @@ def groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple[
         yield now, rows
 
 
-def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Canopies among the rest of each bucket, in one pass; only leaders are held."""
-    now, leaders, lead = None, np.zeros((0, SIZE), np.uint32), []
-    for b in batches:
-        out: tuple[list, list] = ([], [])
-        for bucket, fp, sk in zip(*(b[c].to_pylist() for c in ("bucket", "fp", "sketch"))):
-            if bucket != now:
-                now, leaders, lead = bucket, np.zeros((0, SIZE), np.uint32), []
-            x = np.frombuffer(sk, "<u4")
-            agree = (leaders[: len(lead)] == x).sum(axis=1)
-            for i in np.flatnonzero(agree >= LOOSE):
-                out[0].append(lead[i])
-                out[1].append(fp)
-            if not len(agree) or agree.max() < TIGHT:
-                if len(lead) == len(leaders):
-                    leaders = np.concatenate([leaders, np.zeros((max(8, len(leaders)), SIZE), np.uint32)])
-                leaders[len(lead)] = x
-                lead.append(fp)
-        yield pa.record_batch([pa.array(c, pa.binary()) for c in out], ["leader", "fp"])
-
-
 def _sets(k: int) -> Callable:
     def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -189,37 +158,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     width = 4 * ROWS
     bands = nodes.select("fp", F.explode(F.array(*(F.xxhash64(F.lit(i), F.substring("sketch", i * width + 1, width)) for i in range(SIZE // ROWS)))).alias("bucket"))
     leaders = bands.groupBy("bucket").agg(F.min("fp").alias("leader"), F.max("fp").alias("last")).where("leader < last").select("bucket", "leader")
-    star = cut(bands.join(leaders, "bucket").where("fp > leader"))
-    sketches = nodes.select("fp", "sketch")
-    pairs = star.select("leader", "fp").distinct()
-    both = pairs.join(sketches.select(F.col("fp").alias("leader"), F.col("sketch").alias("x")), "leader").join(sketches.withColumnRenamed("sketch", "y"), "fp")
-    agree = cut(both.mapInArrow(_agreement, "leader binary, fp binary, agree int"))
-    rest = star.join(agree.where(F.col("agree") < TIGHT), ["leader", "fp"]).select("bucket", "fp")
-    many = rest.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    again = rest.join(many, "bucket").join(sketches, "fp").repartition("bucket").sortWithinPartitions("bucket", "fp").mapInArrow(_lead, "leader binary, fp binary")
-    canopy = cut(agree.where(F.col("agree") >= LOOSE).select("leader", "fp").unionByName(again).distinct())
-
-    sizes = canopy.groupBy("leader").agg(F.ceil((F.count("*") + 1) / BLOCK).cast("int").alias("blocks"))
-    members = canopy.select("fp").unionByName(canopy.select(F.col("leader").alias("fp"))).distinct()
+    near = cut(bands.join(leaders, "bucket").where("fp > leader").select("leader", "fp").distinct())
+
+    sizes = near.groupBy("leader").agg(F.ceil((F.count("*") + 1) / BLOCK).cast("int").alias("blocks"))
+    members = near.select("fp").unionByName(near.select(F.col("leader").alias("fp"))).distinct()
     one = nodes.join(members, "fp", "left_semi").select("fp", F.col("least").alias("doc_id"))
     sets = stored(one.join(docs, "doc_id").mapInArrow(_sets(k), "fp binary, elements binary").dropDuplicates(["fp"]))
-    salted = canopy.join(sizes, "leader").select("leader", "fp", F.pmod(F.xxhash64("fp"), "blocks").cast("int").alias("salt"), F.lit(1).alias("member"))
+    salted = near.join(sizes, "leader").select("leader", "fp", F.pmod(F.xxhash64("fp"), "blocks").cast("int").alias("salt"), F.lit(1).alias("member"))
     salted = salted.unionByName(sizes.select("leader", F.col("leader").alias("fp"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), F.lit(0).alias("member")))
     first = salted.join(sets, "fp").repartition("leader", "salt").sortWithinPartitions("leader", "salt", "member").mapInArrow(_with_leader(percent), "leader binary, fp binary, linked boolean")
     first = cut(first)
 
-    # those not linked to their leader, against all members
-    odd = first.where("not linked").select("leader", "fp")
-    count = first.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("qs"), F.ceil(F.count_if(~F.col("linked")) / BLOCK).cast("int").alias("ps"), F.count("*").alias("n")).where("ps > 0 and n > 1")
+    labels = components(first.where("linked").select(F.col("leader").alias("a"), F.col("fp").alias("b")))
+    # members outside their leader's component, against all members
+    label = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+    tagged = first.join(label("fp"), "fp", "left").join(label("leader"), "leader", "left")
+    tagged = cut(tagged.select("leader", "fp", (F.coalesce("fp_label", "fp") != F.coalesce("leader_label", "leader")).alias("odd")))
+    count = tagged.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("qs"), F.ceil(F.count_if("odd") / BLOCK).cast("int").alias("ps"), F.count("*").alias("n")).where("ps > 0 and n > 1")
     block = lambda n: F.pmod(F.xxhash64("fp"), n).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    xs = odd.join(count, "leader").select("leader", "fp", block("ps").alias("p"), upto("qs").alias("q"), F.lit(True).alias("side"))
-    ys = first.join(count, "leader").select("leader", "fp", block("qs").alias("q"), upto("ps").alias("p"), F.lit(False).alias("side"))
+    xs = tagged.where("odd").join(count, "leader").select("leader", "fp", block("ps").alias("p"), upto("qs").alias("q"), F.lit(True).alias("side"))
+    ys = tagged.join(count, "leader").select("leader", "fp", block("qs").alias("q"), upto("ps").alias("p"), F.lit(False).alias("side"))
     blocks = xs.unionByName(ys).join(sets, "fp").repartition("leader", "p", "q").sortWithinPartitions("leader", "p", "q")
     more = blocks.mapInArrow(_in_blocks(percent), "a binary, b binary")
-    edges = first.where("linked").select(F.col("leader").alias("a"), F.col("fp").alias("b")).unionByName(more)
-
-    labels = components(edges)
+    labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
     known = nodes.select("fp", "least").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = known.groupBy("label").agg(F.min("least").alias("component_id"))
     known = known.join(least, "label").select("fp", "component_id")
