@@ -91,7 +91,8 @@ def trusted_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """code and n of the n-grams of the docs whose doc_id trusted has."""
     hashed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(BITS)).alias("at"), "text")
     passing = hashed.mapInArrow(_passing(_bitmap(trusted)), hashed.schema).drop("at")
-    return passing.join(trusted, "doc_id", "left_semi").select("text").mapInArrow(_counted, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    # a merge join at every size: a broadcast of the ids would grow with the labels
+    return passing.join(trusted.hint("merge"), "doc_id", "left_semi").select("text").mapInArrow(_counted, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def _discounts(counts: DataFrame) -> list[float]:
