@@ -54,24 +54,18 @@ def vector_shards(docs: DataFrame, n_shards: int = 8, law: str = "bytes", cells:
     share = F.greatest(*(F.col(d) / max(total[d], 1) for d in DIMS))
     groups = groups.withColumn("share", share)
     heavy = groups.where(F.col("share") > 1 / cells).withColumn("parts", F.ceil(F.col("share") * split).cast("int")).collect()
-    light = groups.where(F.col("share") <= 1 / cells).groupBy(F.pmod("h", F.lit(cells)).cast("int").alias("cell")).agg(*(F.sum(d).alias(d) for d in DIMS))
-    keys, sizes, big = [], [], []
-    for r in sorted(light.collect(), key=lambda r: r["cell"]):
-        keys.append(r["cell"])
-        sizes.append([r[d] for d in DIMS])
-    at = cells
+    big, at = [], cells
     for r in sorted(heavy, key=lambda r: [r[k] for k in key]):
         big.append((*(r[k] for k in key), at, r["parts"]))
-        for _ in range(r["parts"]):
-            keys.append(at)
-            sizes.append([r[d] / r["parts"] for d in DIMS])
-            at += 1
-    weights = np.array([1.0 if d == law else 0.25 for d in DIMS])
-    shard = place(np.array(sizes, float).reshape(-1, len(DIMS)), n_shards, weights)
-    plan = spark.createDataFrame([(int(k), int(s)) for k, s in zip(keys, shard)], "item int, shard int")
+        at += r["parts"]
     rows = rows.join(F.broadcast(spark.createDataFrame(big, "h long, text_crc32 long, size long, first int, parts int")), key, "left")
     item = F.coalesce(F.col("first") + F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"), F.pmod("h", F.lit(cells)).cast("int"))
-    rows = rows.withColumn("item", item).join(F.broadcast(plan), "item")
+    rows = rows.withColumn("item", item)
+    items = sorted(rows.groupBy("item").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")).collect())
+    weights = np.array([1.0 if d == law else 0.25 for d in DIMS])
+    shard = place(np.array([r[1:] for r in items], float).reshape(-1, len(DIMS)), n_shards, weights)
+    plan = spark.createDataFrame([(r["item"], int(s)) for r, s in zip(items, shard)], "item int, shard int")
+    rows = rows.join(F.broadcast(plan), "item")
     # slots: sections small enough for one task, then each section's first slot
     sections = max(16, -(-int(total["rows"]) // 20_000))
     rows = rows.withColumn("section", F.pmod(F.xxhash64("doc_id", "h"), F.lit(sections)).cast("int"))
