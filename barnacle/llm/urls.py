@@ -66,7 +66,8 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, step
     now = start
     if not both.isEmpty():
         for step in range(steps):
-            moved = now.join(both, (now["kind"] == both["kind"]) & (now["node"] == both["a"])).select(both["kind"], F.col("b").alias("node"), (damping * F.col("mass") * F.col("share")).alias("mass"))
+            along = now.withColumnRenamed("node", "a").join(both, ["kind", "a"])
+            moved = along.select("kind", F.col("b").alias("node"), (damping * F.col("mass") * F.col("share")).alias("mass"))
             now = start.unionByName(moved).groupBy("kind", "node").agg(F.sum("mass").alias("mass"))
             if step % CUT == CUT - 1:
                 now = cut(now)
