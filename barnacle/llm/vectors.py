@@ -204,12 +204,13 @@ QUERIES = {"op10_near_vectors": op10_near_vectors}
 ORACLES = {
     "op10_near_vectors": """
 WITH RECURSIVE v AS (
-  SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
 ), n AS (
-  SELECT vec_id, e, sqrt(list_sum(list_transform(e, x -> x * x))) AS s FROM v
+  SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS s FROM v
 ), l AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id
-  WHERE list_dot_product(a.e, b.e) / (a.s * b.s) >= 0.95
+  WHERE a.s > 0 AND b.s > 0 AND isfinite(a.s) AND isfinite(b.s)
+  AND list_dot_product(a.e, b.e) / (a.s * b.s) >= 0.95
 ), r AS (
   SELECT vec_id AS a, vec_id AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
 ), c AS (
