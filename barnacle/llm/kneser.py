@@ -1,14 +1,15 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of byte n-grams, trained on trusted text.
 
-Trusted documents are those with labels.quality = 1, all of them. Their n-grams are counted in each task and summed in Spark, and
+Trusted documents are those with labels.quality = 1, all of them. One in APART of these, by a hash of the id, sets the thresholds
+and the rest train the model, for text that a model has seen has a lower perplexity than text like it. The training documents' n-grams are counted in each task and summed in Spark, and
 the tables of all orders, with contexts and discounts, follow from the highest order's counts by aggregation. Documents
 travel in chunks of CHUNK bytes of text at most. A chunk asks for its distinct n-grams; these are joined to the sharded tables
 order by order, and the probabilities return to the chunk, where each document's perplexity is summed. So neither the
 model nor a chunk's n-grams are ever held whole by the driver or broadcast, and what moves is bounded by the input.
 
 Before the join with the labels, documents pass a bitmap of BITS bits of the trusted ids, so that few other texts are shuffled.
-A document is kept if its perplexity lies between the LOW and HIGH quantiles that the trusted documents of its language
-have; of all trusted documents where its language has none. Text is taken as UTF-8 whole, without changes.
+A document is kept if its perplexity lies between the LOW and HIGH quantiles of the threshold documents of its language, each moved
+outwards by the factor MARGIN; those of all threshold documents count where its language has none. Text is taken as UTF-8 whole, without changes.
 
 Null and empty texts have no perplexity and aren't kept. A null language is one like others. Without trusted documents all that
 have text are kept. Rows with equal or null doc_ids stay separate rows. Other columns pass through, whatever their names.
@@ -20,12 +21,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, stored, table
 
-ORDER, CHUNK, BITS, LOW, HIGH = 4, 24_000_000, 1 << 23, 0.002, 0.998
+ORDER, CHUNK, BITS, LOW, HIGH, APART, MARGIN = 4, 24_000_000, 1 << 23, 0.002, 0.998, 5, 1.25
 
 
 def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -206,10 +207,14 @@ def _scored(at: int, keep: list[int], names: list[str]) -> Callable:
     return partition
 
 
+def sets_thresholds(doc_id: str = "doc_id") -> Column:
+    return F.pmod(F.xxhash64(F.col(doc_id).cast("long")), F.lit(APART)) == 0
+
+
 def perplexities(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
     """The columns in keep of docs (doc_id, text and others), with n_bytes and perplexity."""
     trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long")).distinct()
-    counts = cut(trusted_counts(docs, trusted))
+    counts = cut(trusted_counts(docs, trusted.where(~sets_thresholds())))
     at = docs.columns.index("text")
     placed = docs.withColumn("split_of_row", F.xxhash64(F.input_file_name(), F.input_file_block_start()))
     asked = stored(placed.mapInArrow(_chunks(at, False), "chunk long, code long"))
@@ -223,11 +228,11 @@ def perplexities(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFra
 
 def judged(scored: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     """scored (doc_id, lang, n_bytes, perplexity and others) with least, most and kept."""
-    trusted = labels.where("quality = 1").select("doc_id").distinct()
+    trusted = labels.where("quality = 1").where(sets_thresholds()).select("doc_id").distinct()
     known = scored.where("perplexity is not null").join(trusted, "doc_id", "left_semi")
     q = lambda x: F.percentile_approx("perplexity", x, 10000)
-    by = known.groupBy(F.col("lang").alias("of")).agg(q(low).alias("least"), q(high).alias("most"))
-    every = known.agg(q(low).alias("least_all"), q(high).alias("most_all"))
+    by = known.groupBy(F.col("lang").alias("of")).agg((q(low) / MARGIN).alias("least"), (q(high) * MARGIN).alias("most"))
+    every = known.agg((q(low) / MARGIN).alias("least_all"), (q(high) * MARGIN).alias("most_all"))
     out = scored.join(by, F.col("lang").eqNullSafe(F.col("of")), "left").crossJoin(F.broadcast(every)).drop("of")  # every: one row
     out = out.withColumn("least", F.coalesce("least", "least_all")).withColumn("most", F.coalesce("most", "most_all")).drop("least_all", "most_all")
     inside = F.coalesce((F.col("perplexity") >= F.col("least")) & (F.col("perplexity") <= F.col("most")), F.lit(True))
