@@ -8,8 +8,10 @@ order by order, and the probabilities return to the chunk, where each document's
 model nor a chunk's n-grams are ever held whole by the driver or broadcast, and what moves is bounded by the input.
 
 Before the join with the labels, documents pass a bitmap of BITS bits of the trusted ids, so that few other texts are shuffled.
-A document is kept if its perplexity lies between the LOW and HIGH quantiles of the threshold documents of its language, each moved
-outwards by the factor MARGIN; those of all threshold documents count where its language has none. Text is taken as UTF-8 whole, without changes.
+A document is kept if its perplexity lies between the LOW and HIGH quantiles of the threshold documents of its language, which are
+drawn towards those of all threshold documents with the weight of PRIOR documents, so that a few odd ones of a small language don't set a
+bound; those of all count alone where its language has none. The lower bound is divided by BELOW, for the documents that the model has seen lie lower, and the
+upper one multiplied by ABOVE. Text is taken as UTF-8 whole, without changes.
 
 Null and empty texts have no perplexity and aren't kept. A null language is one like others. Without trusted documents all that
 have text are kept. Rows with equal or null doc_ids stay separate rows. Other columns pass through, whatever their names.
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, stored, table
 
-ORDER, CHUNK, BITS, LOW, HIGH, APART, MARGIN = 4, 24_000_000, 1 << 23, 0.002, 0.998, 5, 1.25
+ORDER, CHUNK, BITS, APART = 4, 24_000_000, 1 << 23, 5
+LOW, HIGH, BELOW, ABOVE, PRIOR = 0.01, 0.98, 1.25, 1.05, 100
 
 
 def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -231,10 +234,11 @@ def judged(scored: DataFrame, labels: DataFrame, low: float = LOW, high: float =
     trusted = labels.where("quality = 1").where(sets_thresholds()).select("doc_id").distinct()
     known = scored.where("perplexity is not null").join(trusted, "doc_id", "left_semi")
     q = lambda x: F.percentile_approx("perplexity", x, 10000)
-    by = known.groupBy(F.col("lang").alias("of")).agg((q(low) / MARGIN).alias("least"), (q(high) * MARGIN).alias("most"))
-    every = known.agg((q(low) / MARGIN).alias("least_all"), (q(high) * MARGIN).alias("most_all"))
+    by = known.groupBy(F.col("lang").alias("of")).agg(q(low).alias("least"), q(high).alias("most"), (F.count("*") / (F.count("*") + PRIOR)).alias("own"))
+    every = known.agg(q(low).alias("least_all"), q(high).alias("most_all"))
     out = scored.join(by, F.col("lang").eqNullSafe(F.col("of")), "left").crossJoin(F.broadcast(every)).drop("of")  # every: one row
-    out = out.withColumn("least", F.coalesce("least", "least_all")).withColumn("most", F.coalesce("most", "most_all")).drop("least_all", "most_all")
+    drawn = lambda c: F.coalesce(F.pow(c, "own") * F.pow(f"{c}_all", 1 - F.col("own")), f"{c}_all")
+    out = out.withColumn("least", drawn("least") / BELOW).withColumn("most", drawn("most") * ABOVE).drop("own", "least_all", "most_all")
     inside = F.coalesce((F.col("perplexity") >= F.col("least")) & (F.col("perplexity") <= F.col("most")), F.lit(True))
     return out.withColumn("kept", F.col("perplexity").isNotNull() & inside)
 

@@ -290,6 +290,20 @@ def test_kneser_ney(spark, docs, labels):
     assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in out)
 
 
+def test_thresholds_withstand_odd_documents(spark):
+    ids = [r["doc_id"] for r in spark.range(3000).toDF("doc_id").where(kneser.sets_thresholds()).limit(305).collect()]
+    assert len(ids) == 305
+    rows = [(d, "en", 10, 5.0 + i % 100 / 100) for i, d in enumerate(ids[:300])] + [(d, "es", 10, 5.5) for d in ids[300:304]]
+    rows[7], odd = (ids[7], "en", 10, 40.0), (ids[304], "es", 10, 30.0)  # one odd trusted document of each language
+    fresh = [(10_000 + i, lang, 10, p) for i, (lang, p) in enumerate((x, p) for x in ("en", "es", "fr", None) for p in (4.5, 5.5, 8.0, 20.0))]
+    scored = spark.createDataFrame([*rows, odd, *fresh], "doc_id long, lang string, n_bytes long, perplexity double")
+    out = kneser.judged(scored, spark.createDataFrame([(d, 1) for d in ids], "doc_id long, quality int")).collect()
+    assert len(out) == len(scored.collect())
+    kept = {r["doc_id"]: r["kept"] for r in out}
+    assert [kept[d] for d, *_ in fresh] == [True, True, False, False] * 4
+    assert all(kept[d] for d, _, _, p in rows if p < 6)
+
+
 def test_shards(spark, docs):
     rows = [(i, "t%d" % (i % 400) * (1 + i % 9)) for i in range(3000)] + [(5000 + i, "hot text") for i in range(1500)]
     for df in (docs, spark.createDataFrame(rows, "doc_id long, text string")):
