@@ -2,8 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir). The first three return rows of docs with the columns of documents; the last returns
 the pieces of sequences. Toxicity and quality read the labels beside the documents. Near-duplicates are those of 5-word
-shingles with a similarity of 0.8 or more; of each group the document with the smallest doc_id stays. Rows with a null doc_id stay
-in that stage, and of rows with the same doc_id that are in one group, all stay.
+shingles with a similarity of 0.8 or more; of each group exactly one row stays, of the smallest doc_id, and a row with a null doc_id
+only where no other is in its group. Rows are told apart by doc_id and text, so that rows with one doc_id and unlike texts are judged each for
+itself. Rows without words are in no group and stay.
 """
 
 from __future__ import annotations
@@ -11,8 +12,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barnacle.llm.common import shared_dir, table
+from barnacle.llm.common import cut, shared_dir, table
 from barnacle.llm.kneser import quality_filter
 from barnacle.llm.neardup import near_duplicates
 from barnacle.llm.packing import pack
@@ -28,8 +30,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    dropped = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    key, doc_id = "near_dedup_key", F.col("doc_id").cast("long")
+    keyed = docs.withColumn(key, F.xxhash64(doc_id, "text"))
+    found = near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text")).where("n_shingles > 0").groupBy(F.col("doc_id").alias(key))
+    # unlike texts that happen to share a key: none of them is judged
+    found = found.agg(F.min("component_id").alias("of"), F.max("component_id").alias("last")).where("of = last").drop("last")
+    rows = cut(keyed.groupBy(key).agg(F.min(doc_id).alias("id"), F.count("*").alias("n")).join(found, key))
+    first = rows.groupBy("of").agg(F.min(F.struct(F.col("id").isNull(), "id", key)).getField(key).alias("first"))
+    rows = cut(rows.join(first, "of").where(f"{key} <> first or n > 1").select(key, (F.col(key) == F.col("first")).alias("stays")))
+    one = keyed.join(rows.where("stays"), key, "left_semi").dropDuplicates([key])  # of equal rows
+    return keyed.join(rows, key, "left_anti").unionByName(one).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

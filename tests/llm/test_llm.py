@@ -164,6 +164,23 @@ def test_near_duplicates(spark, docs, k):
     assert Counter(tuple(r) for r in neardup.near_duplicates(df, k).collect()) == want
 
 
+def test_near_dedup_keeps_one_row_of_a_group(spark):
+    from corpus_pipeline import near_dedup
+
+    long = PROSE[4].split()
+    copy = " ".join([*long[:-1], "other"])
+    unique, third = " ".join(long[::-1]), " ".join(sorted(long))
+    rows = [
+        (1, PROSE[4], "a"), (2, copy, "b"), (2, unique, "c"),  # the second doc 2 is no copy of anything
+        (3, third, "d"), (3, third, "e"), (None, third, "f"), (None, PROSE[2], "g"), (None, PROSE[2], "h"),
+        (4, None, "i"), (4, None, "j"), (5, "", "k"), (5, "", "l"), (None, None, "m"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = near_dedup(spark, df, "")
+    assert out.columns == df.columns
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter([(1, PROSE[4]), (2, unique), (3, third), (None, PROSE[2]), (4, None), (4, None), (5, ""), (5, ""), (None, None)])
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 430)] + [(5, 5)]
