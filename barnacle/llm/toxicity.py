@@ -4,7 +4,9 @@ one that has toxic text in front of the same.
 Both dictionaries are trained from a bounded sample of labelled rows: at most SAMPLE documents of each label, chosen by a
 hash of their id. The ordinary one is trained by the library on windows of ordinary documents. For the toxic one, byte
 5- and 6-grams of words are kept that are far more frequent in toxic documents than in ordinary ones, grown to both sides
-while nearly all their occurrences go on alike, so that a mark is there once, whole, and little else is. A window's gain is the number of bytes that the
+while nearly all their occurrences go on alike, so that a mark is there once, whole, and little else is. A mark stands in LEAST toxic documents
+of the sample at least that fewer than COVER marks before it are in, at any size of the sample, and ODDS (a logarithm) more often than in
+ordinary ones; so marks end when the documents are covered, and rare ones stay. The ordinary dictionary is trained on all windows of its documents. A window's gain is the number of bytes that the
 toxic dictionary saves. As the ordinary dictionary is part of both, other windows gain little. A logistic regression on
 the gains of labelled documents that the dictionaries have not seen gives thresholds and the score.
 
@@ -30,7 +32,7 @@ from .common import table, words
 
 #: Documents of a label for the dictionaries, and as many again at most for calibration.
 SAMPLE = 1500
-COVER, WINDOW, ORDINARY, STRETCHES, ODDS, LEAST, TOXIC_AT = 2, 16, 32768, 100, 3.0, 5, 0.7
+COVER, WINDOW, ORDINARY, ODDS, LEAST, TOXIC_AT = 2, 16, 32768, 3.0, 5, 0.7
 GRAMS = (5, 6)
 PARAMETERS = {"strategy": Z.STRATEGY_LAZY2, "min_match": 4, "window_log": 18, "hash_log": 15, "chain_log": 15, "search_log": 5}
 
@@ -56,7 +58,8 @@ def toxic_text(toxic: list[str], ordinary: list[str]) -> bytes:
                     known[w] = grams(w)
                 found |= known[w]
             count.update(found)
-    odds = lambda g: math.log((seen[1][g] + 0.5) / (len(toxic) + 1)) - math.log((seen[0][g] + 0.5) / (len(ordinary) + 1))
+    # 0.25 for grams that no ordinary document has: LEAST documents of equally many are then ODDS enough
+    odds = lambda g: math.log((seen[1][g] + 0.5) / (len(toxic) + 1)) - math.log((seen[0][g] + (0.5 if seen[0][g] else 0.25)) / (len(ordinary) + 1))
     marks = sorted((-n, g) for g, n in seen[1].items() if n >= LEAST and odds(g) >= ODDS)
     holders: dict[bytes, list[bytes]] = {}
     for w in {b" " + w.lower() + b" " for t in toxic for w in words(t)}:
@@ -68,12 +71,10 @@ def toxic_text(toxic: list[str], ordinary: list[str]) -> bytes:
     bare = [b" " + b"  ".join(w.lower() for w in words(t)) + b" " for t in toxic]
     covered = np.zeros(len(toxic), int)
     for _, g in marks:
-        if len(out) == STRETCHES:
-            break
         if any(g in s for s in out):
             continue
         # a mark must be news for some documents: copies of one document share its rare words
-        if sum(g in bare[i] for i in np.flatnonzero(covered < COVER)) < max(LEAST, len(toxic) / 100):
+        if sum(g in bare[i] for i in np.flatnonzero(covered < COVER)) < LEAST:
             continue
         while True:  # grow while nearly all occurrences go on alike
             left, right, total = Counter(), Counter(), 0
@@ -100,7 +101,7 @@ def ordinary_text(ordinary: list[str]) -> bytes:
     samples = [w for t in ordinary for w in windows(t)]
     random.Random(0).shuffle(samples)
     try:
-        return Z.train_dictionary(ORDINARY, samples[:60_000]).as_bytes()
+        return Z.train_dictionary(ORDINARY, samples).as_bytes()
     except Z.ZstdError:  # too little text for a dictionary: the text itself
         return b"".join(samples)[-ORDINARY:]
 

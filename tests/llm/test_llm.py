@@ -98,6 +98,18 @@ def test_toxicity_separates_held_out(spark, docs, labels):
     assert toxicity.drop_toxic(docs, model).columns == docs.columns
 
 
+def test_rare_toxic_words_are_marks():
+    rng = random.Random(9)
+    text = lambda: [rng.choice(WORDS) for _ in range(40)]
+    toxic, rare = [], ["abscheulich", "malvadisimo"]
+    for i in range(1500):  # two words in 8 documents of 1,500 each, and more than a hundred in twelve each
+        w = text()
+        w[3] = rare[i // 8] if i < 16 else "slur" + "".join(chr(97 + (i // 12) // 26**k % 26) for k in range(3)) * 2
+        toxic.append(" ".join(w))
+    found = toxicity.toxic_text(toxic, [" ".join(text()) for _ in range(1500)])
+    assert all(w.encode() in found for w in rare)
+
+
 def test_url_rules_and_propagation(spark):
     link = lambda *hosts: "".join(f'<a HREF="https://{h}/x">' for h in hosts)
     rows = [
