@@ -136,6 +136,24 @@ def test_url_rules_and_propagation(spark):
         assert found[n] == pytest.approx((trust[n], distrust[n]))
 
 
+def test_shared_distrust_blocks_all_who_link(spark):
+    link = lambda *hosts: "".join(f'<a href="https://{h}/x">' for h in hosts)
+    rules = [("block", "bad.org/"), ("block", "mixed.org/no/"), ("allow", "good.org/"), ("allow", "liked.org/in/")]
+    rows = [("https://bad.org/", None), ("https://one.org/", link("bad.org")), ("https://two.org/", link("bad.org")), ("https://big.org/1", link("bad.org")), ("https://big.org/2", None), ("https://big.org/3", None)]
+    rows += [(f"https://good.org/{i}", link("news.org", "liked.org")) for i in range(20)] + [("https://news.org/", link("bad.org")), ("https://liked.org/a", link("bad.org")), ("https://liked.org/in/a", None)]
+    rows += [("https://mixed.org/no/", None), *((f"https://mixed.org/{i}", None) for i in range(5)), ("https://far.org/", link("one.org")), ("https://apart.org/", None)]
+    # a and b link to each other, and one of them to a blocked host: walks go round for long
+    rows += [("https://a.net/", link("b.net")), ("https://b.net/", link("a.net", "bad.org"))]
+    out = urls.url_verdicts(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string"), rules).collect()
+    assert len(out) == len(rows)
+    got = {(r["host"], r["rule"] is None): r["verdict"] for r in out}
+    assert {h for (h, unruled), v in got.items() if unruled and v == "block"} == {"one.org", "two.org", "big.org", "far.org", "a.net", "b.net"}
+    seeds = spark.createDataFrame([("a", 1, 0)], "node string, trust long, distrust long")
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, w long")
+    found = {r["node"]: r["trust"] for r in urls.propagate(seeds, edges).collect()}
+    assert found["a"] == pytest.approx(1 / (1 - 0.85**2), rel=1e-3)
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(1)
     for n in (1, 5, 200):
