@@ -100,10 +100,13 @@ def trusted_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 
 
 def _discounts(counts: DataFrame) -> list[float]:
-    """Those of counts 1, 2 and 3 or more, from the numbers of n-grams with counts 1 to 4."""
+    """Those of counts 1, 2 and 3 or more, from the numbers of n-grams with counts 1 to 4.
+
+    At least 0.05: without a discount a context leaves unseen bytes no probability, and one of 0 spoils the sums of a chunk's texts.
+    """
     n = [x or 0 for x in counts.agg(*(F.count_if(F.col("n") == k) for k in (1, 2, 3, 4))).first()]
     y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
-    return [max(0.0, min(k - 0.05, k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else k * 0.5)) for k in (1, 2, 3)]
+    return [max(0.05, min(k - 0.05, k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else k * 0.5)) for k in (1, 2, 3)]
 
 
 def probabilities(counts: DataFrame, wanted: DataFrame, order: int = ORDER) -> DataFrame:

@@ -337,6 +337,14 @@ def test_kneser_ney(spark, docs, labels):
     assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in out)
 
 
+def test_unseen_bytes_have_probability_at_any_size(spark):
+    code = lambda b: int.from_bytes(b, "big")
+    rows = [(code(b"aaa" + bytes([i])), 4) for i in range(65, 85)] + [(code(b"bbb" + bytes([i])), i - 64) for i in (65, 66, 67)]
+    wanted = spark.createDataFrame([(code(b"aaaz"),), (code(b"aaaA"),)], "code long")
+    p = [r["p"] for r in kneser.probabilities(spark.createDataFrame(rows, "code long, n long"), wanted).collect()]
+    assert len(p) == 2 and all(0 < x < 1 for x in p)
+
+
 def test_thresholds_withstand_odd_documents(spark):
     ids = [r["doc_id"] for r in spark.range(3000).toDF("doc_id").where(kneser.sets_thresholds()).limit(305).collect()]
     assert len(ids) == 305
