@@ -19,7 +19,6 @@ decides. A null or empty text has only the end id. An empty table gives no docum
 from __future__ import annotations
 
 import struct
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,17 +27,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, shared_dir, table
-from .tokens import BLOCK as TEXTS
-from .tokens import cache_of
+from .common import cut, fresh_path, table
+from .tokens import tokens_of
 
 BLOCK, PERCENTILE, MAGIC = 4096, 95, b"BNCLPFR1"
 HEAD = struct.Struct("<IBBHHH")
 
 
 def pack_bits(values: np.ndarray, width: int) -> bytes:
-    bits = (values[:, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)
-    return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
+    bits = np.unpackbits(values.astype("<u4").view(np.uint8), bitorder="little").reshape(-1, 32)
+    return np.packbits(bits[:, :width], bitorder="little").tobytes()
 
 
 def unpack_bits(data: np.ndarray, n: int, width: int) -> np.ndarray:
@@ -136,13 +134,12 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     """Files of the ids of docs (doc_id, text) at a path, in ascending doc_id order of file names and in each file."""
 
     def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, end, writer = cache_of(tokenizer), end_id.to_bytes(4, "little"), Writer()
+        tokens, end, writer = tokens_of(tokenizer), np.array([end_id], np.uint32), Writer()
         row = lambda x: pa.record_batch([pa.array([x], pa.binary())], ["value"])
         for b in batches:
-            for lo in range(0, len(b), TEXTS):
-                part = b.slice(lo, TEXTS)
-                for doc_id, ids in zip(part["doc_id"].to_pylist(), cache.ids(part["text"].to_pylist())):
-                    if out := writer.add(doc_id, np.frombuffer(ids + end, "<u4")):
+            for lo, found in tokens.slices(b["text"]):
+                for doc_id, ids in zip(b["doc_id"].slice(lo, len(found)).to_pylist(), found):
+                    if out := writer.add(doc_id, np.append(ids, end)):
                         yield row(out)
         if writer.docs:
             yield row(writer.finish())
@@ -179,11 +176,13 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path = f"{shared_dir(spark)}/barnacle/{uuid.uuid4().hex}"
+    path = fresh_path(spark)
     write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), 2)
     read = cut(read_ids(spark, path).select("file", "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")))
     files = read.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # one row for each file, that is for each partition that was written; names hold the partition's number, padded to five digits at least
+    number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
+    before = F.coalesce(F.sum("n").over(Window.orderBy(number).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return read.join(files.select("file", before.alias("base")), "file").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 

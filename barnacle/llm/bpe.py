@@ -14,19 +14,25 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .tokens import BLOCK, TokenCache
 
 #: Entries of the memo tables of one Python worker, and the longest piece that they hold.
-MEMO, LONGEST = 1_000_000, 24
+MEMO, SHORT = 1_000_000, 24
+#: Chunks and pieces whose ids one Python worker keeps, the longest of them, and texts in a block.
+CHUNKS, PIECES, LONGEST, BLOCK = 600_000, 800_000, 64, 400
 LEAF = 4096
+#: A space between white space and white space or the end.
+JOINED = re.compile(r"(?<=\s) (?=\s|\Z)")
 
 
 class Bpe:
@@ -78,7 +84,7 @@ class Bpe:
         else:
             half = len(data) // 2
             out = self.join(self.tree(data[:half]), self.tree(data[half:]))
-        if len(data) <= LONGEST:
+        if len(data) <= SHORT:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
             self.memo[data] = out
@@ -96,13 +102,54 @@ class Bpe:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
+class TokenCache:
+    """Ids of texts as little-endian unsigned 32-bit integers; encode gets lists of pieces. A chunk is what stands between two spaces, with the
+    space before it; pieces never reach over its ends, but for a space with white space on both sides, and a text that has one is split whole."""
+
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], pattern: str):
+        self.encode, self.pattern = encode, regex.compile(pattern)
+        self.chunks: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        return {p: np.array(i, "<u4").tobytes() for p, i in zip(pieces, self.encode(pieces))}
+
+    def _block(self, texts: list[str]) -> list[bytes]:
+        if len(self.chunks) > CHUNKS:
+            self.chunks.clear()
+        if len(self.pieces) > PIECES:
+            self.pieces.clear()
+        # a chunk with a space in front is kept without it; what starts a text has a key of its own
+        split = [[t] if not t or JOINED.search(t) else t.split(" ") for t in texts]
+        new = set(chain.from_iterable(s[1:] for s in split)) - self.chunks.keys()
+        found = {c: self.pattern.findall(" " + c) for c in new}
+        heads = [self.pattern.findall(s[0]) for s in split]
+        learnt = self._learn(list({p for ps in chain(found.values(), heads) for p in ps} - self.pieces.keys()))
+        known = self.pieces
+        known.update(learnt)
+        chunks = self.chunks
+        chunks.update((c, b"".join([known[p] for p in ps])) for c, ps in found.items())
+        out = [b"".join([*(known[p] for p in h), *map(chunks.__getitem__, s[1:])]) for h, s in zip(heads, split)]
+        for kept, keys in ((known, learnt), (chunks, found)):
+            for k in keys:
+                if len(k) > LONGEST:
+                    del kept[k]
+        return out
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        out: list[bytes] = []
+        for lo in range(0, len(texts), BLOCK):
+            out += self._block([t or "" for t in texts[lo : lo + BLOCK]])
+        return out
+
+
 _loaded: dict[tuple[str, str], tuple[Bpe, TokenCache]] = {}
 
 
 def loaded(path: str, pattern: str) -> tuple[Bpe, TokenCache]:
     if (path, pattern) not in _loaded:
         bpe = Bpe.from_file(path)
-        _loaded[path, pattern] = bpe, TokenCache(lambda pieces: [bpe.piece(p) for p in pieces], pattern, True)
+        _loaded[path, pattern] = bpe, TokenCache(lambda pieces: [bpe.piece(p) for p in pieces], pattern)
     return _loaded[path, pattern]
 
 

@@ -16,12 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; one of our own only where that is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share.
+
+    Where that is unset, one of our own in local mode, and an error on a cluster, as executors wouldn't see it.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     sc = spark.sparkContext
     if not base:
         base = sc.getCheckpointDir()
         if not base:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
             base = tempfile.mkdtemp(prefix="barnacle-")
             sc.setCheckpointDir(base)
     elif not sc.getCheckpointDir():
@@ -35,9 +40,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Folders that this driver has written.
+_made: list[str] = []
+
+
+def fresh_path(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    _made.append(f"{shared_dir(spark)}/barnacle/{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the folders of intermediate tables: call it once no result that reads them is needed."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared folder and read again."""
-    path = f"{shared_dir(df.sparkSession)}/barnacle/{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -1,8 +1,8 @@
 """Bounded-space online packing of token ids into sequences.
 
 Each partition of the input keeps at most `windows` open sequences. What a document has beyond whole sequences goes to
-the open sequence that it fits best; if none fits and all are open, the fullest is filled with the head of the piece
-and emitted. At the end of a partition its open sequences are merged into full ones, which leaves less than one
+the open sequence that it fits best; if none fits and all are open, the fullest is emitted. With fill, which is the default and departs from the
+method's plain form, it's filled with the head of the piece first, so that it needs no padding; without, it's emitted as it is. At the end of a partition its open sequences are merged into full ones, which leaves less than one
 sequence; the leftovers of MERGE partitions are then merged in the same way. So the sequences of a task never depend on
 another task's, memory is `windows` sequences, and at most one sequence for each MERGE partitions is padded.
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored, table
-from .tokens import BLOCK, cache_of
+from .tokens import tokens_of
 
 WINDOWS, LENGTH, MERGE = 32, 1024, 64
 #: First sequence_id of merged leftovers; those of partition p start at p << 36.
@@ -34,8 +34,8 @@ SCHEMA = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_
 class Packer:
     """Pieces are (doc_id, start, doc_tokens, ids as bytes); emit(pieces) gets each sequence that is full."""
 
-    def __init__(self, emit: Callable[[list], None], length: int, windows: int):
-        self.emit, self.length, self.windows = emit, length, windows
+    def __init__(self, emit: Callable[[list], None], length: int, windows: int, fill: bool = True):
+        self.emit, self.length, self.windows, self.fill = emit, length, windows, fill
         self.open: list[tuple[int, list]] = []  # (free places, pieces)
 
     def add(self, doc_id, ids: bytes, start: int = 0, total: int | None = None) -> None:
@@ -56,9 +56,14 @@ class Packer:
             self._into(len(self.open) - 1, piece)
         else:
             k = min(range(len(self.open)), key=lambda k: self.open[k][0])
-            free = self.open[k][0]
-            self._into(k, (*piece[:3], piece[3][: 4 * free]))
-            self._place((piece[0], piece[1] + free, piece[2], piece[3][4 * free :]))
+            free, pieces = self.open[k]
+            if self.fill:
+                self._into(k, (*piece[:3], piece[3][: 4 * free]))
+                self._place((piece[0], piece[1] + free, piece[2], piece[3][4 * free :]))
+            else:
+                self.emit(pieces)
+                self.open[k] = (self.length, [])
+                self._into(k, piece)
 
     def _into(self, k: int, piece: tuple) -> None:
         free, pieces = self.open[k]
@@ -106,19 +111,18 @@ class Rows:
         return out
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = LENGTH, windows: int = WINDOWS, keep_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = LENGTH, windows: int = WINDOWS, keep_ids: bool = True, fill: bool = True) -> DataFrame:
     """One row for each piece of each document; ids: its token ids as little-endian unsigned 32-bit integers, if kept."""
     end = end_id.to_bytes(4, "little")
 
     def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, part = cache_of(tokenizer), TaskContext.get().partitionId()
+        tokens, part = tokens_of(tokenizer), TaskContext.get().partitionId()
         rows = Rows(part << 36, part, keep_ids)
-        packer = Packer(rows.sequence, length, windows)
+        packer = Packer(rows.sequence, length, windows, fill)
         for b in batches:
-            for lo in range(0, len(b), BLOCK):
-                part = b.slice(lo, BLOCK)
-                for doc_id, ids in zip(part["doc_id"].to_pylist(), cache.ids(part["text"].to_pylist())):
-                    packer.add(doc_id, ids + end)
+            for lo, found in tokens.slices(b["text"]):
+                for doc_id, ids in zip(b["doc_id"].slice(lo, len(found)).to_pylist(), found):
+                    packer.add(doc_id, ids.astype("<u4").tobytes() + end)
                 yield rows.batch()
         rows.sequence(packer.finish(), leftover=True)
         yield rows.batch()

@@ -18,7 +18,7 @@ from barnacle.llm import binary, bpe, kneser, neardup, packing, quality, shardin
 from barnacle.llm.gbt import Trees  # noqa: E402
 from barnacle.llm.graph import components  # noqa: E402
 from barnacle.llm.sketch import sketch  # noqa: E402
-from barnacle.llm.tokens import cache_of  # noqa: E402
+from barnacle.llm.tokens import tokens_of  # noqa: E402
 
 RNG = random.Random(7)
 WORDS = ["".join(RNG.choice(["the", "in", "ti", "on", "er", "blé", "x"]) for _ in range(RNG.randrange(1, 4))) for _ in range(400)]
@@ -238,14 +238,15 @@ def test_bpe(docs):
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_token_cache_is_the_library(name):
+def test_tokens_are_those_of_the_library(name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(name))
     t.encode_special_tokens = True
     rng = random.Random(5)
-    texts = [x or "" for x in TEXTS] + ["".join(rng.choice("aA éÉ\n\t 'sS.12ΣİÅ\u030a\u0345") for _ in range(rng.randrange(50))) for _ in range(500)] + ["x<|endoftext|> y"]
-    assert [np.frombuffer(x, "<u4").tolist() for x in cache_of(public_tokenizers.path(name)).ids(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    texts = [x or "" for x in TEXTS] + ["".join(rng.choice("aA éÉ\n\t 'sS.12ΣİÅ\u030a\u0345") for _ in range(rng.randrange(50))) for _ in range(500)] + ["x<|endoftext|> y", " a", "a ", "\n", "a\n\n  b", "12½ ²a1", "A'sÀÞ×÷ßÿ", "x" * 20_000]
+    texts += ["".join(rng.choice("aA éÉ\n\t sS.12½À×") for _ in range(rng.randrange(50))) for _ in range(500)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in tokens_of(public_tokenizers.path(name)).ids(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
 def test_blocks_round_trip():
@@ -265,17 +266,57 @@ def test_token_files(spark, docs, tmp_path):
     given = docs.collect()
     assert [r["doc_id"] for r in read] == sorted((r["doc_id"] for r in given), key=lambda d: (d is not None, d or 0))
     ids = dict.fromkeys(())
-    ids = Counter((r["doc_id"], x + (2).to_bytes(4, "little")) for r, x in zip(given, cache_of(tokenizer).ids([r["text"] for r in given])))
+    ids = Counter((r["doc_id"], x + (2).to_bytes(4, "little")) for r, x in zip(given, tokens_of(tokenizer).ids([r["text"] for r in given])))
     assert Counter((r["doc_id"], bytes(r["ids"])) for r in read) == ids
     assert all(r["n_tokens"] * 4 == len(r["ids"]) for r in read)
 
 
+def test_packer_is_best_fit():
+    rng = random.Random(1)
+    for windows, fill in ((1, False), (4, False), (4, True)):
+        got, free, want = [], [], []
+        packer = packing.Packer(lambda pieces: got.append([(p[0], p[1], len(p[3]) // 4) for p in pieces]), 100, windows, fill)
+
+        def put(k, p, free=free, want=want):
+            free[k].append(p)
+            if sum(x[2] for x in free[k]) == 100:
+                want.append(free[k])
+                free[k] = free[-1]
+                free.pop()
+
+        for d in range(300):
+            n = rng.randrange(1, 260)
+            packer.add(d, bytes(4 * n))
+            want += [[(d, i, 100)] for i in range(0, n // 100 * 100, 100)]
+            rest = [(d, n // 100 * 100, n % 100)] if n % 100 else []
+            while rest:
+                (i, start, m), room = rest.pop(), [100 - sum(x[2] for x in w) for w in free]
+                fits = [r for r in room if r >= m]
+                if fits:
+                    put(room.index(min(fits)), (i, start, m))
+                elif len(free) < windows:
+                    free.append([])
+                    put(len(free) - 1, (i, start, m))
+                else:
+                    k = room.index(min(room))
+                    if fill:
+                        part = room[k]
+                        put(k, (i, start, part))
+                        rest.append((i, start + part, m - part))
+                    else:
+                        want.append(free[k])
+                        free[k] = [(i, start, m)]
+        assert got == want
+        if windows == 4:
+            assert sum(p[2] for s in got for p in s) > 0.9 * 100 * len(got)
+
+
 @pytest.mark.parametrize("windows", [1, 3, 32])
 def test_packing(docs, windows):
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     rows = packing.pack(docs, tokenizer, length=128, windows=windows).collect()
     given = docs.collect()
-    whole = Counter((r["doc_id"], x + b"\0\0\0\0") for r, x in zip(given, cache_of(tokenizer).ids([r["text"] for r in given])))
+    whole = Counter((r["doc_id"], x + b"\0\0\0\0") for r, x in zip(given, tokens_of(tokenizer).ids([r["text"] for r in given])))
     sequences = {}
     for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
         assert r["offset"] == sum(len(x["ids"]) // 4 for x in sequences.get(r["sequence_id"], []))
