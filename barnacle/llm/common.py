@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word: a run of anything but the ASCII white space \x20 and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -65,6 +66,38 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def least_hashed(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The n rows of df with the least hashes of a key of type long, or all if there are fewer: the same rows however df is partitioned.
+
+    Rows that are far beyond the n-th go before the sort, so what tasks send to the driver doesn't grow with their number.
+    """
+    total, h = df.count(), F.xxhash64(key)
+    if total > 2 * n:
+        # twice as many as are wanted in expectation, and some more where that is few
+        near = df.where(h < F.lit(int(-(2**63) + 2**64 * min(1.0, (2 * n + 100) / total)) if total > 2 * n + 100 else 2**63 - 1))
+        df = near if near.count() >= n else df
+    return df.orderBy(h, key).limit(n)
+
+
+def heavy_keys(df: DataFrame, keys: list[str], total: int, most: int = 2000, least: int = 500) -> DataFrame:
+    """keys and parts of those keys of df that have more than a share 1 / most of total rows, and more than `least`: into how many parts to split them.
+
+    Not more than `most` keys can have such a share, so the result may be broadcast whatever the size of df.
+    """
+    size = max(least, -(-total // most))
+    counts = df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > size)
+    return counts.select(*keys, F.ceil(F.col("n") / size).cast("int").alias("parts"))
+
+
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], heavy: DataFrame, by: str, how: str = "inner") -> DataFrame:
+    """many joined with one on keys; the rows of a heavy key go to several tasks by a hash of column by, and the row of one to each of them."""
+    heavy = F.broadcast(heavy)  # bounded, see heavy_keys()
+    part = F.pmod(F.xxhash64(by), F.coalesce("parts", F.lit(1))).cast("int")
+    left = many.join(heavy, keys, "left").withColumn("part_of_key", part).drop("parts")
+    right = one.join(heavy, keys, "left").withColumn("part_of_key", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return left.join(right, [*keys, "part_of_key"], how).drop("part_of_key")
+
+
 def words(text: str | None) -> list[bytes]:
     """The words of a text as UTF-8; bytes.split() takes just the white space that WORD excludes."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, heavy_keys, spread_join
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Connect the neighbours of each node that are larger (large) or smaller (not large) than it to the least one."""
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
+    """Connect the neighbours of each node that are larger (large) or smaller (not large) than it to the least one.
+
+    A node with very many neighbours, such as the first of a group of copies, has them spread over several tasks.
+    """
     both = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
     around = edges.unionByName(both) if large else edges
     least = around.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
-    found = around.join(least, "a")
+    found = spread_join(around, least, ["a"], heavy_keys(around, ["a"], 2 * total), "b")
     moved = found.where("b > a" if large else "b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     if not large:
         moved = moved.unionByName(least.select("a", F.col("m").alias("b")))
@@ -23,11 +26,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node and label (the least node of its component) of every node that edges (a, b; any orderable type) name."""
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
+    seen, total = None, now.count()
     while True:
-        now = cut(_star(_star(now, True), False))
+        now = cut(_star(_star(now, True, total), False, total))
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             break
-        seen = state
+        seen, total = state, state[0]
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

@@ -23,52 +23,68 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, stored, table
 
-ORDER, CHUNK, BITS, APART = 4, 24_000_000, 1 << 23, 5
+ORDER, CHUNK, SLICE, BITS, APART = 4, 24_000_000, 500_000, 1 << 23, 5
 LOW, HIGH, BELOW, ABOVE, PRIOR = 0.01, 0.98, 1.25, 1.05, 100
 
 
-def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def grams(texts: list[str | None], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     """The n-gram code that ends at each byte of the texts, each padded in front with zeros, and the bytes of each text."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     sizes = np.array([len(r) for r in raw], np.int64)
-    pad = b"\0" * (ORDER - 1)
-    x = np.frombuffer(b"".join(p for r in raw for p in (pad, r)), np.uint8).astype(np.uint32)
-    codes = np.zeros(max(0, len(x) - ORDER + 1), np.uint32)
-    for i in range(ORDER):
-        codes |= x[i : i + len(codes)] << np.uint32(8 * (ORDER - 1 - i))
+    pad = b"\0" * (order - 1)
+    x = np.frombuffer(b"".join(p for r in raw for p in (pad, r)), np.uint8)
+    kind = np.uint32 if order <= 4 else np.uint64
+    codes = np.zeros(max(0, len(x) - order + 1), kind)
+    for i in range(order):
+        codes |= x[i : i + len(codes)].astype(kind) << kind(8 * (order - 1 - i))
     inside = np.ones(len(x), bool)
-    starts = np.cumsum(sizes + ORDER - 1) - sizes
-    for i in range(1, ORDER):
+    starts = np.cumsum(sizes + order - 1) - sizes
+    for i in range(1, order):
         inside[starts - i] = False
-    return codes[inside[ORDER - 1 :]], sizes
+    return codes[inside[order - 1 :]], sizes
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def slices(texts: pa.Array, lo: int, hi: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows from lo to hi with SLICE bytes of text at most, or of one text."""
+    size = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(texts.slice(lo, hi - lo)), 0).to_numpy(zero_copy_only=False)))
+    at = 0
+    while at < hi - lo:
+        end = max(at + 1, int(np.searchsorted(size, size[at] + SLICE, "right")) - 1)
+        yield lo + at, lo + end
+        at = end
+
+
+def _counted(order: int) -> Callable:
     """Counts of the n-grams of a task's texts, summed before they leave it as far as memory allows."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def merged() -> tuple[np.ndarray, np.ndarray]:
+    def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         code, n = (np.concatenate(c) for c in zip(*held))
         code, at = np.unique(code, return_inverse=True)
         return code, np.bincount(at, n).astype(np.int64)
 
-    for b in batches:
-        for lo in range(0, len(b), 2000):
-            codes, _ = grams(b["text"].slice(lo, 2000).to_pylist())
-            held.append(np.unique(codes, return_counts=True))
-        if len(held) > 1:
-            held = [merged()]
-            if len(held[0][0]) > 4_000_000:
-                yield pa.record_batch([pa.array(held[0][0].astype(np.int64)), pa.array(held[0][1])], ["code", "n"])
-                held = []
-    if held:
-        code, n = merged()
-        yield pa.record_batch([pa.array(code.astype(np.int64)), pa.array(n)], ["code", "n"])
+    def batch(code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(code.astype(np.int64)), pa.array(n)], ["code", "n"])
+
+    def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for b in batches:
+            for lo, hi in slices(b["text"], 0, len(b)):
+                held.append(np.unique(grams(b["text"].slice(lo, hi - lo).to_pylist(), order)[0], return_counts=True))
+                if sum(len(c) for c, _ in held) > 2_000_000:
+                    held = [merged(held)]
+                    if len(held[0][0]) > 1_000_000:
+                        yield batch(*held[0])
+                        held = []
+        if held:
+            yield batch(*merged(held))
+
+    return partition
 
 
 def _bitmap(ids: DataFrame) -> bytes:
@@ -91,12 +107,12 @@ def _passing(bits: bytes) -> Callable:
     return partition
 
 
-def trusted_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+def trusted_counts(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> DataFrame:
     """code and n of the n-grams of the docs whose doc_id trusted has."""
     hashed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(BITS)).alias("at"), "text")
     passing = hashed.mapInArrow(_passing(_bitmap(trusted)), hashed.schema).drop("at")
     # a merge join at every size: a broadcast of the ids would grow with the labels
-    return passing.join(trusted.hint("merge"), "doc_id", "left_semi").select("text").mapInArrow(_counted, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return passing.join(trusted.hint("merge"), "doc_id", "left_semi").select("text").mapInArrow(_counted(order), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def _discounts(counts: DataFrame) -> list[float]:
@@ -141,7 +157,7 @@ def _pack(b: pa.RecordBatch) -> bytes:
 MESSAGE = "chunk long, kind int, code long, p double, payload binary"
 
 
-def _chunks(at: int, payload: bool) -> Callable:
+def _chunks(at: int, payload: bool, order: int) -> Callable:
     """The rows of each chunk, packed, or the distinct n-grams of their texts (column at).
 
     The last column is a hash of the file split that a row was read from, with which a chunk's number begins, so that both uses
@@ -158,8 +174,8 @@ def _chunks(at: int, payload: bool) -> Callable:
             keys = b.column(b.num_columns - 1).to_numpy()
             edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(b)] if len(b) else []
             for start, end in zip(edges, edges[1:]):
-                for lo in range(start, end, 2000):
-                    part = b.slice(lo, min(2000, end - lo))
+                for lo, hi in slices(b.column(at), start, end):
+                    part = b.slice(lo, hi - lo)
                     if keys[lo] != split or size >= CHUNK:
                         if known:
                             yield wanted(chunk, known)
@@ -170,15 +186,15 @@ def _chunks(at: int, payload: bool) -> Callable:
                         rows = _pack(pa.RecordBatch.from_arrays(part.columns[:-1], part.schema.names[:-1]))
                         yield pa.record_batch([pa.array([chunk], pa.int64()), pa.array([1], pa.int32()), pa.array([None], pa.int64()), pa.array([None], pa.float64()), pa.array([rows], pa.binary())], ["chunk", "kind", "code", "p", "payload"])
                     else:
-                        known.append(np.unique(grams(texts.to_pylist())[0]))
-                    size += sum(len(t.as_py() or "") for t in texts)
+                        known.append(np.unique(grams(texts.to_pylist(), order)[0]))
+                    size += pc.sum(pc.binary_length(texts)).as_py() or 0
         if known:
             yield wanted(chunk, known)
 
     return partition
 
 
-def _scored(at: int, keep: list[int], names: list[str]) -> Callable:
+def _scored(at: int, keep: list[int], names: list[str], order: int) -> Callable:
     def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, code, logp, ready = None, [], [], None
         for b in batches:
@@ -193,14 +209,15 @@ def _scored(at: int, keep: list[int], names: list[str]) -> Callable:
                     logp.append(np.log(part["p"].to_numpy()))
                     continue
                 if ready is None:
-                    ready = (np.concatenate(code).astype(np.uint32), np.concatenate(logp)) if code else (np.zeros(0, np.uint32), np.zeros(0))
+                    ready = (np.concatenate(code).astype(np.uint32 if order <= 4 else np.uint64), np.concatenate(logp)) if code else (np.zeros(0, np.uint32), np.zeros(0))
+                    code, logp = [], []
                 for packed in part["payload"]:
                     rows = pa.ipc.open_stream(packed.as_py()).read_all().combine_chunks().to_batches()
                     for r in rows:
                         yield score(r, *ready)
 
     def score(r: pa.RecordBatch, code: np.ndarray, logp: np.ndarray) -> pa.RecordBatch:
-        codes, sizes = grams(r.column(at).to_pylist())
+        codes, sizes = grams(r.column(at).to_pylist(), order)
         place = np.searchsorted(code, codes)
         if len(codes) and (len(code) == 0 or (code[np.minimum(place, len(code) - 1)] != codes).any()):
             raise RuntimeError("a chunk's n-grams differ from those it asked for: its input isn't repeatable")
@@ -217,19 +234,26 @@ def sets_thresholds(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.xxhash64(F.col(doc_id).cast("long")), F.lit(APART)) == 0
 
 
-def perplexities(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns in keep of docs (doc_id, text and others), with n_bytes and perplexity."""
+def perplexities(docs: DataFrame, labels: DataFrame, keep: list[str], order: int = ORDER) -> DataFrame:
+    """The columns in keep of docs (doc_id, text and others), with n_bytes and perplexity; order: bytes in an n-gram, 7 at most.
+
+    docs must give the same rows from the same file splits each time; what isn't read from files is stored first.
+    """
+    if not 1 <= order <= 7:
+        raise ValueError("order must be from 1 to 7")
+    if not docs.inputFiles():
+        docs = stored(docs)
     trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long")).distinct()
-    counts = cut(trusted_counts(docs, trusted.where(~sets_thresholds())))
+    counts = cut(trusted_counts(docs, trusted.where(~sets_thresholds()), order))
     at = docs.columns.index("text")
     placed = docs.withColumn("split_of_row", F.xxhash64(F.input_file_name(), F.input_file_block_start()))
-    asked = stored(placed.mapInArrow(_chunks(at, False), "chunk long, code long"))
-    p = probabilities(counts, asked.select("code").distinct())
+    asked = stored(placed.mapInArrow(_chunks(at, False, order), "chunk long, code long"))
+    p = probabilities(counts, asked.select("code").distinct(), order)
     reply = asked.join(p, "code").select("chunk", F.lit(0).alias("kind"), "code", "p", F.lit(None).cast("binary").alias("payload"))
-    both = reply.unionByName(placed.mapInArrow(_chunks(at, True), MESSAGE)).repartition("chunk").sortWithinPartitions("chunk", "kind", "code")
+    both = reply.unionByName(placed.mapInArrow(_chunks(at, True, order), MESSAGE)).repartition("chunk").sortWithinPartitions("chunk", "kind", "code")
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     names = [*keep, "n_bytes", "perplexity"]
-    return both.mapInArrow(_scored(at, [docs.columns.index(c) for c in keep], names), f"{fields}, n_bytes long, perplexity double")
+    return both.mapInArrow(_scored(at, [docs.columns.index(c) for c in keep], names, order), f"{fields}, n_bytes long, perplexity double")
 
 
 def judged(scored: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:

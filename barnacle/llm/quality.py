@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, words
+from .common import least_hashed, stored, table, words
 from .gbt import Trees
 
 SAMPLE, KEEP_AT, WINDOW = 20_000, 0.5, 3
@@ -90,7 +90,7 @@ def measured(docs: DataFrame) -> DataFrame:
 
 def train(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees | None:
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = stats.select("doc_id", "features").join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toPandas()
+    rows = least_hashed(stats.select("doc_id", "features").join(known, "doc_id"), "doc_id", sample).toPandas()
     if rows["quality"].nunique() < 2:
         return None
     return Trees(list(FEATURES.values())).fit(np.stack(rows["features"]), rows["quality"].to_numpy(float))

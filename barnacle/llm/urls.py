@@ -24,7 +24,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, heavy_keys, spread_join, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DAMPING, TOLERANCE, CUT, BLOCK = 0.85, 1e-4, 4, -0.75
@@ -71,14 +71,15 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, step
     both = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "w")
     both = both.unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), "w"))
     out = both.groupBy("kind", "a").agg(F.sum("w").alias("total"))
-    both = cut(both.join(out, ["kind", "a"]).select("kind", "a", "b", (F.col("w") / F.col("total")).alias("share")))
+    both = cut(spread_join(both, out, ["kind", "a"], heavy_keys(both, ["kind", "a"], 2 * edges.count()), "b").select("kind", "a", "b", (F.col("w") / F.col("total")).alias("share")))
     start = cut(seeds.select("node", F.explode(F.map_from_arrays(F.array(F.lit("trust"), F.lit("distrust")), F.array(F.col("trust").cast("double"), F.col("distrust").cast("double")))).alias("kind", "mass")).where("mass > 0"))
     now = start
-    if not both.isEmpty():
+    if n_edges := both.count():
+        heavy = cut(heavy_keys(both, ["kind", "a"], n_edges))
         total = lambda df: df.agg(F.coalesce(F.sum("mass"), F.lit(0.0))).first()[0]
         seeded = before = total(start)
         for step in count() if steps is None else range(steps):
-            along = now.withColumnRenamed("node", "a").join(both, ["kind", "a"])
+            along = spread_join(both, now.withColumnRenamed("node", "a"), ["kind", "a"], heavy, "b")
             moved = along.select("kind", F.col("b").alias("node"), (damping * F.col("mass") * F.col("share")).alias("mass"))
             now = start.unionByName(moved).groupBy("kind", "node").agg(F.sum("mass").alias("mass"))
             if step % CUT == CUT - 1:
@@ -103,7 +104,8 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str]] = RULES, block:
     # sums of floats: what is left of a host's own seeds isn't distrust
     standing = F.when(reached > 1e-9 * (1 + F.col("distrust")), (F.col("t") - reached) / (F.col("t") + reached))
     scored = scored.select(F.col("node").alias("host"), F.round(F.least(own, standing), 9).alias("host_score"))
-    out = judged.join(scored, "host", "left")
+    # a host's pages go to several tasks where there are very many
+    out = spread_join(judged.withColumn("row_of_page", F.monotonically_increasing_id()), scored, ["host"], heavy_keys(judged, ["host"], judged.count()), "row_of_page", "left")
     verdict = F.coalesce("said", F.when(F.col("host_score") <= block, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.coalesce("host_score", F.lit(0.0)).alias("host_score"))
 
