@@ -5,16 +5,18 @@ the pieces of sequences. Toxicity and quality read the labels beside the documen
 shingles with a similarity of 0.8 or more; of each group exactly one row stays, of the smallest doc_id, and a row with a null doc_id
 only where no other is in its group. Rows are told apart by doc_id and text, so that rows with one doc_id and unlike texts are judged each for
 itself. Rows without words are in no group and stay.
+
+Toxicity and packing judge each row by its text alone: a null or empty text is not toxic and is one piece of one id, repeated rows are
+treated alike and packed each, and texts are taken whole, however long. The quality classifier drops null and empty texts. Intermediate tables stay in the
+shared folder until barnacle.llm.common.clear() is called.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barnacle.llm.common import cut, shared_dir, table
+from barnacle.llm.common import cut, fresh_path, table
 from barnacle.llm.kneser import quality_filter
 from barnacle.llm.neardup import near_duplicates
 from barnacle.llm.packing import pack
@@ -57,7 +59,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/barnacle/{uuid.uuid4().hex}"
+        path = fresh_path(spark)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
