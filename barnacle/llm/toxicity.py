@@ -1,23 +1,21 @@
 """Toxicity by compression distance: windows of a text compressed with a zstandard dictionary of ordinary text, and with
-one that has toxic text in front of the same.
+one of toxic text in front of the same.
 
-Both dictionaries are trained from a bounded sample of labelled rows: at most SAMPLE documents of each label, chosen by a
-hash of their id. The ordinary one is trained by the library on windows of ordinary documents. For the toxic one, byte
-5- and 6-grams of words are kept that are far more frequent in toxic documents than in ordinary ones, grown to both sides
-while nearly all their occurrences go on alike, so that a mark is there once, whole, and little else is. A mark stands in LEAST toxic documents
-of the sample at least that fewer than COVER marks before it are in, at any size of the sample, and ODDS (a logarithm) more often than in
-ordinary ones; so marks end when the documents are covered, and rare ones stay. The ordinary dictionary is trained on all windows of its documents. A window's gain is the number of bytes that the
-toxic dictionary saves. As the ordinary dictionary is part of both, other windows gain little. A logistic regression on
-the gains of labelled documents that the dictionaries have not seen gives thresholds and the score.
+Both dictionaries are trained by the library, from a bounded sample of labelled rows: at most SAMPLE documents of each label, chosen by a hash of their id.
+The ordinary one is trained on the windows of ordinary documents. Most of a toxic document is ordinary as well, so the toxic one is trained on what the ordinary
+documents don't explain: the windows of a single word in toxic documents that no ordinary document of the sample has. Each counts once for each different pair of neighbours, and only if LEAST
+documents add such a pair, so the rare words of a document with many copies don't count as frequent. A window's gain is the number of bytes that the toxic
+dictionary saves. As the ordinary dictionary is part of both, other windows gain little. A logistic regression on a document's three largest gains, fitted to
+labelled documents that the dictionaries have not seen, gives the score; its constant is lowered until no more than a share CLEAN of the ordinary ones reach
+TOXIC_AT. Of toxic dictionaries of SIZES bytes the one that then finds most toxic documents is taken.
 
 Windows cover whole texts. Null and empty texts, and texts without words, have no window and the score of no gain. A table
 without labels of both kinds gives every row the score 0. Rows with a null doc_id are scored like others and aren't
-held out.
+held out. Rows with equal texts have equal scores.
 """
 
 from __future__ import annotations
 
-import math
 import random
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -28,13 +26,15 @@ import zstandard as Z
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, words
+from .common import least_hashed, table, words
 
 #: Documents of a label for the dictionaries, and as many again at most for calibration.
 SAMPLE = 1500
-COVER, WINDOW, ORDINARY, ODDS, LEAST, TOXIC_AT = 2, 16, 32768, 3.0, 5, 0.7
-GRAMS = (5, 6)
-PARAMETERS = {"strategy": Z.STRATEGY_LAZY2, "min_match": 4, "window_log": 18, "hash_log": 15, "chain_log": 15, "search_log": 5}
+WINDOW, ORDINARY, SIZES, LEAST, TOXIC_AT, CLEAN = 16, 32768, (512, 1024, 2048), 5, 0.7, 0.02
+BOUND = float(np.log(TOXIC_AT / (1 - TOXIC_AT)))
+#: The trainer's segments and the strings that it counts, and how many single words it gets in a sample.
+SEGMENT, COUNTED, TOGETHER = 12, 6, 2
+PARAMETERS = {"strategy": Z.STRATEGY_LAZY2, "min_match": 4, "window_log": 18, "hash_log": 16, "chain_log": 17, "search_log": 6}
 
 
 def windows(text: str | None, n: int = WINDOW) -> list[bytes]:
@@ -42,68 +42,38 @@ def windows(text: str | None, n: int = WINDOW) -> list[bytes]:
     return [b" " + b" ".join(x[i : i + n]) + b" " for i in range(0, len(x), n)]
 
 
-def grams(word: bytes) -> set[bytes]:
-    return {word[i : i + n] for n in GRAMS for i in range(len(word) - n + 1)}
-
-
-def toxic_text(toxic: list[str], ordinary: list[str]) -> bytes:
-    """The stretches of words that mark toxic documents, the most frequent last."""
-    known: dict[bytes, set[bytes]] = {}
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for count, texts in zip(seen, (ordinary, toxic)):
-        for t in texts:
-            found: set[bytes] = set()
-            for w in {b" " + w.lower() + b" " for w in words(t)}:
-                if w not in known:
-                    known[w] = grams(w)
-                found |= known[w]
-            count.update(found)
-    # 0.25 for grams that no ordinary document has: LEAST documents of equally many are then ODDS enough
-    odds = lambda g: math.log((seen[1][g] + 0.5) / (len(toxic) + 1)) - math.log((seen[0][g] + (0.5 if seen[0][g] else 0.25)) / (len(ordinary) + 1))
-    marks = sorted((-n, g) for g, n in seen[1].items() if n >= LEAST and odds(g) >= ODDS)
-    holders: dict[bytes, list[bytes]] = {}
-    for w in {b" " + w.lower() + b" " for t in toxic for w in words(t)}:
-        for g in known[w]:
-            if seen[1][g] >= LEAST:
-                holders.setdefault(g, []).append(w)
-    times = Counter(b" " + w.lower() + b" " for t in toxic for w in words(t))
-    out: list[bytes] = []
-    bare = [b" " + b"  ".join(w.lower() for w in words(t)) + b" " for t in toxic]
-    covered = np.zeros(len(toxic), int)
-    for _, g in marks:
-        if any(g in s for s in out):
-            continue
-        # a mark must be news for some documents: copies of one document share its rare words
-        if sum(g in bare[i] for i in np.flatnonzero(covered < COVER)) < LEAST:
-            continue
-        while True:  # grow while nearly all occurrences go on alike
-            left, right, total = Counter(), Counter(), 0
-            for w in holders[g[: GRAMS[0]]] if g[: GRAMS[0]] in holders else []:
-                at = w.find(g)
-                if at >= 0:
-                    total += times[w]
-                    left[w[at - 1 : at]] += times[w]
-                    right[w[at + len(g) : at + len(g) + 1]] += times[w]
-            for side, count in ((0, left), (1, right)):
-                byte, n = count.most_common(1)[0] if count else (b"", 0)
-                if byte and n >= 0.9 * total:
-                    g = g + byte if side else byte + g
-                    break
-            else:
-                break
-        if not any(s in g or g in s for s in out):
-            out.append(g)
-            covered += np.array([g in x for x in bare])
-    return b"".join(out[::-1])
-
-
-def ordinary_text(ordinary: list[str]) -> bytes:
-    samples = [w for t in ordinary for w in windows(t)]
+def trained(size: int, samples: list[bytes], **options) -> bytes:
+    """The library's dictionary for samples, in an order of our own; of too little text for one, the text itself."""
+    samples = list(samples)
     random.Random(0).shuffle(samples)
     try:
-        return Z.train_dictionary(ORDINARY, samples).as_bytes()
-    except Z.ZstdError:  # too little text for a dictionary: the text itself
-        return b"".join(samples)[-ORDINARY:]
+        return Z.train_dictionary(size, samples, **options).as_bytes()
+    except Z.ZstdError:
+        return b"".join(samples)[-size:]
+
+
+def ordinary_dictionary(ordinary: list[str]) -> bytes:
+    return trained(ORDINARY, [w for t in ordinary for w in windows(t)])
+
+
+def unexplained(toxic: list[str], ordinary: list[str]) -> list[bytes]:
+    """The words of toxic texts that ordinary ones don't have, once for each different pair of neighbours; only those that LEAST
+    texts add a pair to."""
+    known = {w.lower() for t in ordinary for w in words(t)}
+    seen: set[tuple[bytes, bytes, bytes]] = set()
+    texts: Counter = Counter()
+    for t in toxic:
+        ws = [b"", *(w.lower() for w in words(t)), b""]
+        new = {c for c in zip(ws, ws[1:], ws[2:]) if c[1] not in known} - seen
+        seen |= new
+        texts.update({w for _, w, _ in new})
+    return [b" " + w + b" " for _, w, _ in sorted(seen) if texts[w] >= LEAST]
+
+
+def toxic_dictionary(each: list[bytes], size: int) -> bytes:
+    each = list(each)
+    random.Random(1).shuffle(each)
+    return trained(size, [b"".join(each[i : i + TOGETHER]) for i in range(0, len(each), TOGETHER)], k=SEGMENT, d=COUNTED)
 
 
 class Gains:
@@ -118,11 +88,10 @@ class Gains:
         return Z.ZstdCompressor(dict_data=d, compression_params=p)
 
     def features(self, text: str | None) -> list[float]:
-        """The three largest gains, what gains of 3 or more sum to for each window, and the number of windows."""
+        """The three largest gains."""
         plain, toxic = self.pair
         g = sorted((len(plain.compress(w)) - len(toxic.compress(w)) for w in windows(text)), reverse=True)
-        top = [max(0, x) for x in (*g[:3], 0, 0, 0)][:3]
-        return [*map(float, top), sum(x for x in g if x >= 3) / max(1, len(g)), math.log1p(len(g))]
+        return [float(max(0, x)) for x in (*g[:3], 0, 0, 0)][:3]
 
 
 class Model:
@@ -140,24 +109,37 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + x @ self.weights[1:], -30, 30)))
 
 
-def fit(toxic: list[str], ordinary: list[str]) -> Model | None:
-    """Half of each list for the dictionaries, the rest for the thresholds."""
-    if len(toxic) < 2 or len(ordinary) < 2:
-        return None
-    halves = [(x[::2], x[1::2]) for x in (toxic, ordinary)]
-    parts = toxic_text(halves[0][0], halves[1][0]), ordinary_text(halves[1][0])
-    gains = Gains(*parts)
-    x = np.array([gains.features(t) for half in halves for t in half[1]])
-    y = np.repeat([1.0, 0.0], [len(half[1]) for half in halves])
+def regression(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights (the constant first), mean and scale of a logistic regression in which both labels weigh the same and no gain lowers the score."""
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     z, w, b = (x - mean) / scale, np.zeros(x.shape[1]), 0.0
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
-    for _ in range(3000):  # gradient descent; more toxic-looking features never lower the score
+    for _ in range(3000):
         e = (1 / (1 + np.exp(-(b + z @ w))) - y) * share
         b -= 2 * e.sum()
-        w -= 2 * (z.T @ e + 1e-4 * w)
-        w[:4] = np.maximum(w[:4], 0)
-    return Model(*parts, [b, *w], list(mean), list(scale))
+        w = np.maximum(w - 2 * (z.T @ e + 1e-4 * w), 0)
+    return np.append(b, w), mean, scale
+
+
+def fit(toxic: list[str], ordinary: list[str]) -> Model | None:
+    """Half of each list for the dictionaries, the rest for the thresholds."""
+    if len(toxic) < 2 or len(ordinary) < 2:
+        return None
+    plain, each = ordinary_dictionary(ordinary[::2]), unexplained(toxic[::2], ordinary[::2])
+    y = np.repeat([1.0, 0.0], [len(toxic[1::2]), len(ordinary[1::2])])
+    best: tuple[float, Model] | None = None
+    for size in SIZES:
+        made = toxic_dictionary(each, size)
+        gains = Gains(made, plain)
+        x = np.array([gains.features(t) for t in (*toxic[1::2], *ordinary[1::2])])
+        weights, mean, scale = regression(x, y)
+        logit = (x - mean) / scale @ weights[1:]
+        # at most a share CLEAN of the ordinary documents may come out as toxic
+        weights[0] = min(weights[0], BOUND - 1e-9 - np.quantile(logit[y == 0], 1 - CLEAN))
+        found = (logit[y == 1] + weights[0] >= BOUND).mean()
+        if best is None or found > best[0]:
+            best = found, Model(made, plain, list(weights), list(mean), list(scale))
+    return best[1]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -166,11 +148,11 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     """From labels (doc_id, toxic) that aren't held out."""
-    known = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    ids = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample) for k in (1, 0)]
-    # at most 4 * sample ids
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
+    known = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+    ids = [least_hashed(known.where(F.col("toxic") == k), "doc_id", 2 * sample) for k in (1, 0)]
+    # at most 4 * sample ids, and one text for each
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
+    rows = sorted(texts.collect(), key=lambda r: r["doc_id"])
     random.Random(0).shuffle(rows)
     return fit(*([r["text"] for r in rows if r["toxic"] == k] for k in (1, 0)))
 

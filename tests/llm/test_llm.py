@@ -98,16 +98,31 @@ def test_toxicity_separates_held_out(spark, docs, labels):
     assert toxicity.drop_toxic(docs, model).columns == docs.columns
 
 
-def test_rare_toxic_words_are_marks():
+def test_toxicity_is_a_comparison_of_window_lengths():
     rng = random.Random(9)
     text = lambda: [rng.choice(WORDS) for _ in range(40)]
-    toxic, rare = [], ["abscheulich", "malvadisimo"]
-    for i in range(1500):  # two words in 8 documents of 1,500 each, and more than a hundred in twelve each
-        w = text()
-        w[3] = rare[i // 8] if i < 16 else "slur" + "".join(chr(97 + (i // 12) // 26**k % 26) for k in range(3)) * 2
-        toxic.append(" ".join(w))
-    found = toxicity.toxic_text(toxic, [" ".join(text()) for _ in range(1500)])
-    assert all(w.encode() in found for w in rare)
+    insert = lambda w, x: " ".join([*w[:7], x, *w[7:]])
+    ordinary = [" ".join(text()) for _ in range(400)]
+    toxic = [insert(text(), rng.choice(["scoundrel", "abscheulich", "malvadisimo"])) for _ in range(400)] + [insert(text(), "once" + str(i)) for i in range(40)] + [insert(PROSE[4].split(), "copied")] * 30
+    rng.shuffle(toxic)
+    # a word of one document, or of copies of one document, says nothing
+    assert {x.strip() for x in toxicity.unexplained(toxic, ordinary)} == {b"scoundrel", b"abscheulich", b"malvadisimo"}
+    model = toxicity.fit(toxic, ordinary)
+    made, plain = model.parts
+    # both dictionaries are what the library makes of the windows
+    samples = [w for t in ordinary[::2] for w in toxicity.windows(t)]
+    random.Random(0).shuffle(samples)
+    assert plain == toxicity.Z.train_dictionary(toxicity.ORDINARY, samples).as_bytes()
+    assert made in [toxicity.toxic_dictionary(toxicity.unexplained(toxic[::2], ordinary[::2]), n) for n in toxicity.SIZES]
+    long = " ".join(text() * 500)
+    lengths = [toxicity.Gains._compressor(d) for d in (plain, made + plain)]
+    for t in (*toxic[:20], *ordinary[:20], None, "", " \n", long, insert(long.split(), "scoundrel"), toxic[0].upper()):
+        w = [x.lower() for x in words(t)]
+        cut = [b" " + b" ".join(w[i : i + 16]) + b" " for i in range(0, len(w), 16)]
+        gains = sorted((len(lengths[0].compress(x)) - len(lengths[1].compress(x)) for x in cut), reverse=True)
+        top = [max(0, g) for g in (*gains, 0, 0, 0)][:3]
+        want = model.weights[0] + sum(c * (g - m) / s for c, g, m, s in zip(model.weights[1:], top, model.mean, model.scale))
+        assert model.scores([t])[0] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, want)))))
 
 
 def test_url_rules_and_propagation(spark):
@@ -400,25 +415,45 @@ def test_thresholds_withstand_odd_documents(spark):
     assert all(kept[d] for d, _, _, p in rows if p < 6)
 
 
-def test_shards(spark, docs):
+def test_places_by_dot_product():
+    rng = np.random.default_rng(3)
+    share = rng.random((200, 3)) / 100
+    share[150:, 1:] = share[150:, :1]  # items as large in each dimension
+    share[20] = share[7]
+    weights = np.array([1.0, 0.25, 0.25])
+    left = [[1 / 8] * 3 for _ in range(8)]
+    want = [0] * 200
+    for i in sorted(range(200), key=lambda i: -max(share[i])):
+        fit = [sum(w * x * r for w, x, r in zip(weights, share[i], room)) for room in left]
+        want[i] = max(range(8), key=lambda s: (fit[s], -s))
+        left[want[i]] = [r - x for r, x in zip(left[want[i]], share[i])]
+    assert sharding.place(share, np.full((8, 3), 1 / 8), weights).tolist() == want
+
+
+@pytest.mark.parametrize("heavy", [sharding.HEAVY, 20])
+def test_shards(spark, docs, heavy):
     rows = [(i, "t%d" % (i % 400) * (1 + i % 9)) for i in range(3000)] + [(5000 + i, "hot text") for i in range(1500)]
     for df in (docs, spark.createDataFrame(rows, "doc_id long, text string")):
-        out = sharding.vector_shards(df).collect()
+        out = sharding.vector_shards(df, heavy=heavy, section=150).collect()
         assert len(out) == df.count() and {r["shard"] for r in out} <= set(range(8))
         for s in range(8):
-            slots = sorted(r["slot"] for r in out if r["shard"] == s)
-            assert slots == list(range(len(slots)))
+            own = sorted((r for r in out if r["shard"] == s), key=lambda r: r["slot"])
+            assert [r["slot"] for r in own] == list(range(len(own)))
+            ids = [r["doc_id"] for r in own]
+            assert ids == sorted(ids, key=lambda d: (d is not None, d or 0))
         want = Counter((r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in df.collect())
         assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in out) == want
-    sizes = Counter()
+    sizes, counts = Counter(), Counter()
     for r in out:
         sizes[r["shard"]] += r["size"]
-    assert max(sizes.values()) - min(sizes.values()) < 0.02 * sum(sizes.values()) / 8
-    placed = {}
-    for r, (_, t) in zip(sorted(out, key=lambda r: r["doc_id"]), sorted(rows)):
-        if t != "hot text":
-            placed.setdefault(t, set()).add(r["shard"])
-    assert all(len(s) == 1 for s in placed.values())
+        counts[r["shard"]] += 1
+    for n in (sizes, counts):
+        assert max(n.values()) - min(n.values()) < (0.02 if n is sizes else 0.1) * sum(n.values()) / 8
+    text, placed = dict(rows), {}
+    for r in out:
+        placed.setdefault(text[r["doc_id"]], set()).add(r["shard"])
+    # only the group with a third of all rows, which no shard has room for, is split
+    assert all(len(s) == 1 for t, s in placed.items() if t != "hot text") and len(placed["hot text"]) > 1
 
 
 def test_vectors(spark):
