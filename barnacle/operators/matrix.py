@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..sources.fastq import read_fastq, read_fastq_pairs
 from . import counters
@@ -42,40 +43,50 @@ def unique_names(paths: Sequence[str]) -> list[str]:
 def matrix_of(result: counters.CountResult, keys: list[str], nmapped: bool) -> CountMatrix:
     """From a result with samples; rows that some samples lack are zero in these."""
     samples = result.metadata.select("sample")
-    rows = result.table.select(*keys).distinct()
-    counts = rows.crossJoin(samples).join(result.table.groupBy("sample", *keys).agg(F.sum("counts").alias("n")).withColumnsRenamed({k: f"k_{k}" for k in keys} | {"sample": "k_sample"}), F.expr(" AND ".join(f"`{k}` <=> `k_{k}`" for k in (*keys, "sample"))), "left")
-    counts = counts.select(*keys, "sample", F.coalesce("n", F.lit(0)).cast("long").alias("counts"))
+    counted = result.table.groupBy("sample", *keys).agg(F.sum("counts").alias("n"))
+    # the keys of any sample, each with every sample: that is the matrix
+    rows = counted.select(*keys).distinct()
+    every = rows.crossJoin(samples.withColumnRenamed("sample", "s"))
+    counted = counted.withColumnsRenamed({k: f"k_{k}" for k in keys})
+    same = F.expr(" AND ".join([f"`{k}` <=> `k_{k}`" for k in keys] + ["s = sample"]))
+    counts = every.join(counted, same, "left").select(*keys, F.col("s").alias("sample"), F.coalesce("n", F.lit(0)).cast("long").alias("counts"))
     cols = result.metadata
     if nmapped:
-        cols = cols.join(counts.groupBy("sample").agg(F.sum("counts").cast("long").alias("nmapped")), "sample", "left").fillna(0, ["nmapped"])
+        cols = cols.join(result.table.groupBy("sample").agg(F.sum("counts").cast("long").alias("nmapped")), "sample", "left").fillna(0, ["nmapped"])
     return CountMatrix(counts, rows, cols, keys)
 
 
+def _named_rows(m: CountMatrix) -> CountMatrix:
+    """m with row_data in the order of its keys and the names BARCODE_1, BARCODE_2, ...
+
+    Numbers run over the whole, so one task gives them, to rows of the distinct combinations alone.
+    """
+    number = F.row_number().over(Window.orderBy(*m.keys))
+    return CountMatrix(m.counts, m.row_data.withColumn("name", F.concat(F.lit("BARCODE_"), number.cast("string"))), m.col_data, m.keys)
+
+
 def _reads(spark: SparkSession, files: Sequence) -> tuple[DataFrame, DataFrame]:
-    """All reads with their sample, and each sample's paths."""
+    """All reads with their sample, in one scan of all files, and each sample's paths."""
     paired = bool(files) and not isinstance(files[0], str)
     names = unique_names([f[0] if paired else f for f in files])
-    if paired:
-        parts = [read_fastq_pairs(spark, *f).withColumn("sample", F.lit(n)) for f, n in zip(files, names)]
-        paths = spark.createDataFrame([(n, *f) for f, n in zip(files, names)], "sample string, paths1 string, paths2 string")
-    else:
-        parts = [read_fastq(spark, f).withColumn("sample", F.lit(n)) for f, n in zip(files, names)]
-        paths = spark.createDataFrame(list(zip(names, files)), "sample string, paths string")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out, paths
+    columns = "sample string, paths1 string, paths2 string" if paired else "sample string, paths string"
+    paths = spark.createDataFrame([(n, *(f if paired else [f])) for f, n in zip(files, names)], columns)
+    reads = read_fastq_pairs(spark, [f[0] for f in files], [f[1] for f in files], names) if paired else read_fastq(spark, list(files), names)
+    return reads, paths
 
 
 def _matrix(count: Callable, spark: SparkSession, files: Sequence, keys: list[str], nmapped: bool, *args, **options) -> CountMatrix:
     if not files:
         raise ValueError("no files")
     reads, paths = _reads(spark, files)
-    result = count(reads, *args, **options)
+    return _gathered(count(reads, *args, **options), paths, keys, nmapped)
+
+
+def _gathered(result: counters.CountResult, paths: DataFrame, keys: list[str], nmapped: bool) -> CountMatrix:
     # a file without reads is a sample of its own all the same
     totals = [c for c in result.metadata.columns if c != "sample"]
-    result.metadata = paths.join(result.metadata, "sample", "left").fillna(0, totals)
-    return matrix_of(result, keys, nmapped)
+    metadata = paths.join(result.metadata, "sample", "left").fillna(0, totals)
+    return matrix_of(counters.CountResult(result.table, metadata), keys, nmapped)
 
 
 def matrix_of_single(spark: SparkSession, files: Sequence[str], choices, **options) -> CountMatrix:
@@ -83,17 +94,26 @@ def matrix_of_single(spark: SparkSession, files: Sequence[str], choices, **optio
 
 
 def matrix_of_combo(spark: SparkSession, files: Sequence[str], template: str, choices, **options) -> CountMatrix:
-    return _matrix(counters.count_combo, spark, files, ["combinations"], True, template, choices, **options)
+    return _named_rows(_matrix(counters.count_combo, spark, files, ["combinations"], True, template, choices, **options))
 
 
 def matrix_of_combo_paired(spark: SparkSession, files: Sequence[tuple[str, str]], choices, **options) -> CountMatrix:
-    return _matrix(counters.count_combo_paired, spark, files, ["combinations"], False, choices, **options)
+    return _named_rows(_matrix(counters.count_combo_paired, spark, files, ["combinations"], False, choices, **options))
 
 
 def _dual(count: Callable, spark: SparkSession, files: Sequence, choices, *args, include_invalid: bool = False, **options) -> CountMatrix:
-    names = [c for c in (choices.columns if isinstance(choices, DataFrame) else choices) if c != "idx"]
-    keys = ["idx", *names, *(["valid"] if include_invalid else [])]
-    return _matrix(count, spark, files, keys, False, choices, *args, include_invalid=include_invalid, **options)
+    """Rows are those of choices, with their names if they have any. include_invalid: the combinations that any file has or that are valid,
+    each once, with `valid`, which tells whether choices have it."""
+    frame = isinstance(choices, DataFrame)
+    every = [c for c in (choices.columns if frame else choices) if c != "idx"]
+    if not include_invalid:
+        return _matrix(count, spark, files, ["idx", *every], False, choices, *args, **options)
+    names = [c for c in every if c != "name"]
+    reads, paths = _reads(spark, files)
+    m = _gathered(count(reads, choices, *args, include_invalid=True, **options), paths, names, False)
+    valid = (choices if frame else spark.createDataFrame(list(zip(*choices.values())), ", ".join(f"`{n}` string" for n in names))).select(*(F.col(n).cast("string") for n in names)).distinct().withColumn("valid", F.lit(True))
+    flagged = lambda df: df.join(valid, names, "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
+    return CountMatrix(flagged(m.counts), flagged(m.row_data), m.col_data, [*names, "valid"])
 
 
 def matrix_of_dual(spark: SparkSession, files: Sequence[str], choices, template: str, **options) -> CountMatrix:

@@ -13,22 +13,29 @@ from ..functions.alphabet import IUPAC, expansions, folded, mask_digits
 WILD = 1024
 
 
+#: What becomes of barcodes that can match the same sequence: an error, the first or the last of them wins, or none is matched.
+POLICIES = ("error", "first", "last", "none")
+
+
 class Pool:
-    """frame: idx (0-based), barcode (as given), and masks (digits); length: of every barcode."""
+    """frame: idx (0-based), barcode (as given), masks (digits) and whether it's wild; length: of every barcode; segments: their lengths."""
 
-    def __init__(self, frame: DataFrame, check: str = "error"):
-        """frame: idx and barcode. check: `error` raises on barcodes that can match the same sequence, `first` lets the lowest idx win."""
-        if check not in ("error", "first"):
+    def __init__(self, frame: DataFrame, check: str = "error", segments: Sequence[int] | None = None):
+        """frame: idx and barcode. check: one of POLICIES, which also settles ties between different barcodes. Reads frame once, and once more for `error` if it has IUPAC codes."""
+        if check not in POLICIES:
             raise ValueError(f"unknown duplicate policy {check!r}")
         self.policy = check
-        stats = frame.agg(F.min(F.length("barcode")).alias("a"), F.max(F.length("barcode")).alias("b"), F.first(F.when(folded(F.col("barcode")).rlike(f"[^{IUPAC}]"), F.col("barcode")), ignorenulls=True).alias("odd"), F.count_if(F.col("barcode").isNull()).alias("nulls")).first()
+        self.frame = frame.select(F.col("idx").cast("long"), "barcode", mask_digits(F.col("barcode")).alias("masks"), F.coalesce(n_expansions(F.col("barcode")) > WILD, F.lit(False)).alias("wild"))
+        stats = self.frame.agg(F.min(F.length("barcode")).alias("a"), F.max(F.length("barcode")).alias("b"), F.first(F.when(folded(F.col("barcode")).rlike(f"[^{IUPAC}]"), F.col("barcode")), ignorenulls=True).alias("odd"), F.count_if(F.col("barcode").isNull()).alias("nulls"), F.count_if("wild").alias("wild"), F.max(n_expansions(F.col("barcode"))).alias("most"), F.count("*").alias("n"), F.count_distinct(folded(F.col("barcode"))).alias("different")).first()
         if stats["a"] != stats["b"]:
             raise ValueError("variable regions must have the same length")
         if stats["odd"] is not None or stats["nulls"]:
             raise ValueError(f"unknown base in barcode {stats['odd']!r}")
-        self.length = stats["a"] or 0
-        self.frame = frame.select(F.col("idx").cast("long"), "barcode", mask_digits(F.col("barcode")).alias("masks"))
-        if check == "error" and (found := duplicates(self).orderBy("first", "second").first()):
+        self.length, self.wild = stats["a"] or 0, stats["wild"]
+        self.segments = list(segments) if segments else [self.length]
+        # of plain barcodes, only equal ones can match the same sequence
+        clean = stats["n"] == stats["different"] and (stats["most"] or 1) == 1
+        if check == "error" and not clean and (found := duplicates(self).orderBy("first", "second").first()):
             raise ValueError(f"duplicate sequences detected ({found['first'] + 1}, {found['second'] + 1}) when constructing the trie")
 
     @classmethod
@@ -54,12 +61,13 @@ def n_expansions(c: Column) -> Column:
 
 def duplicates(pool: Pool) -> DataFrame:
     """first and second idx of pairs of barcodes that can match the same sequence; of many with one sequence, the two lowest."""
-    sized = pool.frame.withColumn("n", n_expansions(F.col("barcode")))
-    plain = sized.where(F.col("n") <= WILD).select("idx", F.explode(expanded(F.col("barcode"))).alias("s"))
-    found = plain.groupBy("s").agg(F.min("idx").alias("first"), F.slice(F.array_sort(F.collect_set("idx")), 2, 1).alias("rest")).where(F.size("rest") > 0).select("first", F.element_at("rest", 1).alias("second"))
-    wild = sized.where(F.col("n") > WILD)
-    if wild.isEmpty():
+    plain = pool.frame.where("not wild").select("idx", F.explode(expanded(F.col("barcode"))).alias("s"))
+    # the two lowest idx of each sequence
+    found = plain.groupBy("s").agg(F.min("idx").alias("first"), F.max("idx").alias("last")).where("first < last")
+    found = found.join(plain, "s").where("idx > first").groupBy("s", "first").agg(F.min("idx").alias("second")).select("first", "second")
+    if not pool.wild:
         return found.distinct()
+    wild, sized = pool.frame.where("wild"), pool.frame
     # two barcodes overlap where no position's masks are disjoint
     shared = lambda a, b: F.forall(F.sequence(F.lit(1), F.lit(max(1, pool.length))), lambda i: F.conv(F.substring(a, i, F.lit(1)), 16, 10).cast("int").bitwiseAND(F.conv(F.substring(b, i, F.lit(1)), 16, 10).cast("int")) > 0)
     pairs = wild.alias("a").join(sized.alias("b"), (F.col("a.idx") != F.col("b.idx")) & shared(F.col("a.masks"), F.col("b.masks")))

@@ -1,72 +1,89 @@
-"""Nearest barcode of each distinct sequence, by pigeonhole seeds.
+"""Nearest barcode of each variable region, by pigeonhole seeds.
 
 With at most k substitutions, one of k + 1 parts of a barcode is found unchanged. So candidates come from an equi-join on
-the parts' expansions and are then compared whole; with k = 0 that is one hash join. Barcodes with too many expansions
-are compared by mask with all sequences; usually there are none.
+the parts' expansions and are then compared whole; with k = 0 that is one hash join. Where a barcode has two segments with caps of their own, a
+seed is a part of each. Barcodes with too many expansions are compared by mask with all regions of their pool; usually there are none.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import distance, nibbles
-from .pool import WILD, Pool, expanded, n_expansions
-
-
-def _parts(length: int, k: int) -> list[tuple[int, int]]:
-    n = min(k + 1, length)
-    return [(length * i // n, length * (i + 1) // n) for i in range(n)] if k < length else []
-
-
-def _seeds(c: Column, parts: list[tuple[int, int]], expand: bool) -> Column:
-    """part number and sequence of each seed."""
-    each = [F.substring(c, a + 1, b - a) for a, b in parts]
-    if expand:
-        numbered = lambda i: lambda s: F.struct(F.lit(i).alias("part"), s.alias("seed"))
-        return F.flatten(F.array(*(F.transform(expanded(e), numbered(i)) for i, e in enumerate(each))))
-    return F.array(*(F.struct(F.lit(i).alias("part"), e.alias("seed")) for i, e in enumerate(each)))
+from .pool import Pool, expanded
 
+#: d and idx in one BIGINT: the least of such numbers is that of the lowest idx at the least distance.
+IDX = 1 << 40
 
-def candidates(sequences: DataFrame, column: str, pool: DataFrame, barcode: str, length: int, k: int) -> DataFrame:
-    """Rows of sequences and of pool that share a seed, or all of them with wild barcodes; a pair may come more than once."""
-    parts = _parts(length, k)
-    if not parts:
-        return sequences.crossJoin(pool)
-    sized = pool.withColumn("wild", n_expansions(F.col(barcode)) > WILD)
-    left = sequences.withColumn("key", F.explode(_seeds(F.translate(F.col(column), "acgt", "ACGT"), parts, False)))
-    right = sized.where("not wild").drop("wild").withColumn("key", F.explode(_seeds(F.col(barcode), parts, True)))
-    found = left.join(right, "key").drop("key")
-    wild = sized.where("wild").drop("wild")
-    return found if wild.isEmpty() else found.unionByName(sequences.crossJoin(wild))
 
+def _parts(length: int, k: int, start: int = 0) -> list[tuple[int, int]] | None:
+    """The places of k + 1 parts of a segment; None if a part would be empty."""
+    if not length:
+        return [(start, start)]
+    return [(start + length * i // (k + 1), start + length * (i + 1) // (k + 1)) for i in range(k + 1)] if k < length else None
 
-def resolve(sequences: DataFrame, pool: Pool, k: int) -> DataFrame:
-    """v, idx and d of each sequence (column v) that has a nearest barcode with at most k substitutions.
 
-    Of several barcodes at the least distance the pool's policy takes the lowest idx, or none.
-    """
-    found = candidates(sequences.select("v").distinct(), "v", pool.frame, "barcode", pool.length, k)
-    near = found.select("v", "idx", distance(nibbles(F.col("v")), F.col("masks"), pool.length).alias("d")).where(F.col("d") <= k)
-    return nearest(near, ["v"], pool.policy)
+def seed_places(pool: Pool, caps: Sequence[int]) -> list[list[tuple[int, int]]] | None:
+    """The pieces of each seed: one part of each segment."""
+    at, out = 0, [[]]
+    for length, k in zip(pool.segments, caps):
+        parts = _parts(length, k, at)
+        if parts is None:
+            return None
+        out, at = [[*o, p] for o in out for p in parts], at + length
+    return out
 
 
-def nearest(near: DataFrame, key: list[str], policy: str) -> DataFrame:
-    """Of near (key, idx, d): the idx at the least d, and that d."""
-    at = near.groupBy(*key, "d").agg(F.min("idx").alias("idx"), F.max("idx").alias("last"))
-    best = at.groupBy(*key).agg(F.min(F.struct("d", "idx", "last")).alias("b")).select(*key, F.col("b.idx").alias("idx"), F.col("b.d").alias("d"), F.col("b.last").alias("last"))
-    return (best if policy == "first" else best.where("idx = last")).drop("last")
-
-
-def first_hit(hits: DataFrame, key: list[str], order: list[str], value: str = "idx") -> DataFrame:
-    """The value and total of each key's first hit."""
-    best = hits.groupBy(*key).agg(F.min(F.struct(*order, value, "total")).alias("b"))
-    return best.select(*key, F.col(f"b.{value}").alias(value), F.col("b.total").alias("total"))
-
-
-def best_hit(hits: DataFrame, key: list[str], value: str = "idx", keep_ties: bool = False) -> DataFrame:
-    """The value of each key at its least total, if all hits at it have one value; keep_ties: null if they don't."""
-    at = hits.groupBy(*key, "total").agg(F.min(value).alias("a"), F.max(value).alias("b"))
-    best = at.groupBy(*key).agg(F.min(F.struct("total", "a", "b")).alias("m"))
-    out = best.select(*key, F.when(F.col("m.a") == F.col("m.b"), F.col("m.a")).alias(value), F.col("m.total").alias("total"))
-    return out if keep_ties else out.where(F.col(value).isNotNull())
+def _seeds(c: Column, places: list[list[tuple[int, int]]], expand: bool) -> Column:
+    """part number and sequence of each seed."""
+    whole = [F.concat(*(F.substring(c, a + 1, b - a) for a, b in ps)) for ps in places]
+    if expand:
+        numbered = lambda i: lambda s: F.struct(F.lit(i).alias("part"), s.alias("seed"))
+        return F.flatten(F.array(*(F.transform(expanded(w), numbered(i)) for i, w in enumerate(whole))))
+    return F.array(*(F.struct(F.lit(i).alias("part"), w.alias("seed")) for i, w in enumerate(whole)))
+
+
+def within(rows: DataFrame, pools: Sequence[Pool], caps: Sequence[Sequence[int]]) -> DataFrame:
+    """rows (pool: the number of one of pools; v; c: mismatches so far in each segment) with idx and d of the barcodes that are within the caps
+    of every segment; a pair may come more than once."""
+    seeds, barcodes, wild = F.lit(None).cast("array<struct<part:int,seed:string>>"), [], []
+    for n, (pool, cap) in enumerate(zip(pools, caps)):
+        places, tagged = seed_places(pool, cap), pool.frame.select(F.lit(n).alias("pool"), "idx", "masks", "barcode", "wild")
+        if places is None:
+            wild.append(tagged)
+            continue
+        seeds = F.when(F.col("pool") == n, _seeds(F.col("v"), places, False)).otherwise(seeds)
+        barcodes.append(tagged.where("not wild").select("pool", "idx", "masks", F.explode(_seeds(F.col("barcode"), places, True)).alias("s")).select("pool", "idx", "masks", "s.*"))
+        if pool.wild:
+            wild.append(tagged.where("wild"))
+    rows = rows.withColumn("digits", nibbles(F.col("v")))
+    found = []
+    if barcodes:
+        asked = rows.withColumn("s", F.explode(seeds)).select(*rows.columns, "s.*")
+        found.append(asked.join(reduce(DataFrame.unionByName, barcodes), ["pool", "part", "seed"]).drop("part", "seed"))
+    if wild:
+        found.append(rows.join(reduce(DataFrame.unionByName, wild).drop("barcode", "wild"), "pool"))
+    near = reduce(DataFrame.unionByName, (f.select(*rows.columns, "idx", "masks") for f in found))
+    d, ok = F.lit(None).cast("int"), F.lit(False)
+    for n, (pool, cap) in enumerate(zip(pools, caps)):
+        at, each = 0, []
+        for length in pool.segments:
+            each.append(distance(F.substring("digits", at + 1, length), F.substring("masks", at + 1, length), length) if length else F.lit(0))
+            at += length
+        fits = reduce(Column.__and__, (F.col("c")[i] + e <= k for i, (e, k) in enumerate(zip(each, cap))))
+        here = F.col("pool") == n
+        d, ok = F.when(here, sum(each[1:], each[0])).otherwise(d), F.when(here, fits).otherwise(ok)
+    return near.withColumn("d", d).where(ok).drop("digits", "masks")
+
+
+def nearest(near: DataFrame, keys: list[str], policy: Column) -> DataFrame:
+    """Of near (keys, idx, d): the idx at the least d, and that d; of several at it the lowest (policy `first`), the highest (`last`) or none."""
+    packed = lambda x: F.min(F.col("d").cast("long") * IDX + x)
+    at = near.groupBy(*keys).agg(packed(F.col("idx")).alias("low"), packed(IDX - 1 - F.col("idx")).alias("high"))
+    low, high = F.pmod("low", F.lit(IDX)), IDX - 1 - F.pmod("high", F.lit(IDX))
+    idx = F.when((policy == "first") | (low == high), low).when(policy == "last", high)
+    return at.select(*keys, idx.alias("idx"), F.floor(F.col("low") / IDX).cast("int").alias("d")).where("idx is not null")

@@ -46,12 +46,12 @@ SQL = {
     "reads_random": f"SELECT {bases('event_id', 3)} || 'AAAAACGT' || {bases('user_id % 300', 6)} || case when event_id % 9 = 0 then 'ACGTGGGA' else 'ACGTGGGG' end || {bases('event_id', 2)} AS seq, event_type AS sample FROM {{events}}",
     "pairs": f"SELECT o_orderkey AS read_id, {_mate1} AS seq1, {_mate2} AS seq2, o_orderstatus AS sample FROM {{orders}}",
     "pairs_mixed": f"SELECT o_orderkey AS read_id, {_swap.format(a=_mate1, b=_mate2)} AS seq1, {_swap.format(a=_mate2, b=_mate1)} AS seq2, o_orderstatus AS sample FROM {{orders}}",
-    "pool": f"SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS idx, {long_barcode('s_suppkey')} AS barcode FROM {{supplier}}",
-    "pool_iupac": f"SELECT idx, substr(barcode, 1, 3) || CASE idx % 3 WHEN 0 THEN 'R' WHEN 1 THEN 'N' ELSE 'Y' END || substr(barcode, 5) AS barcode FROM (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS idx, {long_barcode('s_suppkey')} AS barcode FROM {{supplier}}) t",
-    "pool2": f"SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS idx, {short_barcode('n_nationkey')} AS barcode FROM {{nation}}",
-    "rows": f"SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS idx, {long_barcode('s_suppkey')} AS x, {short_barcode('s_suppkey')} AS y FROM {{supplier}}",
+    "pool": f"SELECT s_suppkey AS idx, {long_barcode('s_suppkey')} AS barcode FROM {{supplier}}",
+    "pool_iupac": f"SELECT idx, substr(barcode, 1, 3) || CASE idx % 3 WHEN 0 THEN 'R' WHEN 1 THEN 'N' ELSE 'Y' END || substr(barcode, 5) AS barcode FROM (SELECT s_suppkey AS idx, {long_barcode('s_suppkey')} AS barcode FROM {{supplier}}) t",
+    "pool2": f"SELECT n_nationkey AS idx, {short_barcode('n_nationkey')} AS barcode FROM {{nation}}",
+    "rows": f"SELECT s_suppkey AS idx, {long_barcode('s_suppkey')} AS x, {short_barcode('s_suppkey')} AS y FROM {{supplier}}",
     "queries": f"SELECT p_partkey, {long_barcode('p_partkey', 'case when p_size < 10 then 16 else 0 end')} AS seq FROM {{part}}",
-    "repeated": f"SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS idx, {bases('c_custkey % 97 * 41 % 1024', 5)} AS barcode FROM {{customer}}",
+    "repeated": f"SELECT c_custkey AS idx, {bases('c_custkey % 97 * 41 % 1024', 5)} AS barcode FROM {{customer}}",
 }
 
 SINGLE, COMBO, RANDOM, MATE1, MATE2 = "ACGTNNNNNNNNTGCA", "ACGTNNNNNNNNAAAANNNNNTGCA", "AAAAACGTNNNNNNACGTGGGG", "ACGTNNNNNNNNTGCA", "AGGANNNNNAGGA"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from .functions.alphabet import reverse_complement
 from .operators import counters as C
 from .operators.hits import template_hits
+from .operators import matrix as M
 from .operators.matrix import combine_combo_counts, matrix_of
 from .operators.pool import Pool, duplicates
 from .plans import oracle as O
@@ -32,6 +34,24 @@ def _reads(spark, d, name, sample=False) -> DataFrame:
     return frame(spark, d, name).select(*(c for c in ("seq", "seq1", "seq2", *(["sample"] if sample else [])) if c in frame(spark, d, name).columns))
 
 
+def _fresh(spark) -> str:
+    """A new folder in the cluster's shared folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.gettempdir()
+    return os.path.join(base.removeprefix("file:"), "barnacle-fastq", uuid.uuid4().hex)
+
+
+def _files(spark, reads: DataFrame, samples: str, mates: int = 1) -> list:
+    """FASTQ folders of the reads of each sample, or pairs of folders."""
+    path, out = _fresh(spark), []
+    for sample in samples:
+        part, made = reads.where(F.col("sample") == sample), []
+        for column in ("seq",) if mates == 1 else ("seq1", "seq2"):
+            made.append(f"{path}/{column}/{sample}")
+            write_fastq(part.select(F.lit("r").alias("name"), F.col(column).alias("seq")), made[-1], "gzip")
+        out.append(made[0] if mates == 1 else tuple(made))
+    return out
+
+
 def _singles() -> None:
     for name, reads, pool, k, best, strand in (
         ("single_exact_first", "reads", "pool", 0, False, "original"),
@@ -60,13 +80,24 @@ def _singles() -> None:
     _add("single_totals", lambda s, d: matrix_of(counted(s, d), ["idx", "choices"], True).col_data, O.sql(ctes, "SELECT sample, count(*)::BIGINT AS nreads, count(m.idx)::BIGINT AS nmapped FROM reads LEFT JOIN m USING (seq) GROUP BY sample"))
 
     def roundtrip(spark, d):
-        base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/barnacle-fastq").removeprefix("file://")
-        path = os.path.join(base, uuid.uuid4().hex)
+        path = _fresh(spark)
         write_fastq(frame(spark, d, "reads").select(F.lit("r").alias("name"), "seq"), path, "gzip")
         return C.count_single(read_fastq(spark, f"{path}/part-*"), Pool(frame(spark, d, "pool")), template=SINGLE, substitutions=1, strand="original").table
 
     _add("fastq_roundtrip", roundtrip, SQL["single_sub1_first"])
 
+    def flanked(spark, d):
+        return C.count_single(_reads(spark, d, "reads"), Pool(frame(spark, d, "pool")), flank5="ACGT", flank3="TGCA", substitutions=1, strand="original").table
+
+    _add("single_flanks", flanked, SQL["single_sub1_first"])
+
+    def either_first(spark, d):
+        return C.count_single_paired(_reads(spark, d, "pairs_mixed"), Pool(frame(spark, d, "pool")), SINGLE, 1, False, "original").table
+
+    ctes = [*O.source("reads", "pairs_mixed"), *O.plain_pool("pool", "pool"), *O.single("a", "reads", "seq1", SINGLE, "pool", 1, False, "original"), *O.single("b", "reads", "seq2", SINGLE, "pool", 1, False, "original")]
+    ctes.append("m AS (SELECT DISTINCT seq1, seq2, coalesce(a.idx, b.idx) AS idx FROM reads LEFT JOIN a USING (seq1) LEFT JOIN b USING (seq2))")
+    _add("single_either_mate_first", either_first, O.sql(ctes, O.dense("m", "reads", "seq1, seq2", "pool", "p.barcode AS choices")))
+
     def either(spark, d):
         return C.count_single_paired(_reads(spark, d, "pairs_mixed"), Pool(frame(spark, d, "pool")), SINGLE, 1, True, "original").table
 
@@ -84,6 +115,13 @@ def _matches() -> None:
         v = "reverse(translate(seq, 'ACGT', 'TGCA'))" if reverse else "seq"
         ctes = [*O.source("q0", "queries"), f"q AS (SELECT *, {v} AS v0 FROM q0)", *make("pool", pool), *O.resolve("r", "q", "v0", "pool", k)]
         _add(name, query, O.sql(ctes, 'SELECT p_partkey, seq, (idx + 1)::BIGINT AS "index", d::BIGINT AS mismatches FROM q LEFT JOIN r ON v0 = v'))
+    # which of several equal barcodes is found is up to the pool's policy
+    for policy, one in (("first", "min(idx)"), ("last", "max(idx)"), ("none", "CASE WHEN count(*) = 1 THEN min(idx) END")):
+        def settled(spark, d, policy=policy):
+            p = frame(spark, d, "repeated")
+            return C.match_barcodes(p.select(F.col("barcode").alias("seq")), Pool(p, policy))
+
+        _add(f"match_duplicates_{policy}", settled, O.sql(O.source("p", "repeated"), f'SELECT barcode AS seq, (i + 1)::BIGINT AS "index", CASE WHEN i IS NOT NULL THEN 0 END::BIGINT AS mismatches FROM p JOIN (SELECT barcode, {one} AS i FROM p GROUP BY barcode) USING (barcode)'))
     _add("revcomp", lambda s, d: frame(s, d, "pool_iupac").select(F.col("idx").cast("long").alias("idx"), reverse_complement(F.col("barcode")).alias("rc")), O.sql(O.source("p", "pool_iupac"), "SELECT idx::BIGINT AS idx, reverse(translate(barcode, 'ACGTRYSWKMBDHVN', 'TGCAYRSWMKVHDBN')) AS rc FROM p"))
 
     def parsed(spark, d):
@@ -129,6 +167,29 @@ def _combos() -> None:
 
     _add("combo_matrix", matrix, O.sql([*ctes(False), f"n AS ({named.format(more='sample, ')})"], "SELECT k.*, s.sample, coalesce(n.counts, 0)::BIGINT AS counts FROM (SELECT DISTINCT first, second FROM n) k CROSS JOIN (SELECT DISTINCT sample FROM reads) s LEFT JOIN n ON n.first = k.first AND n.second = k.second AND n.sample = s.sample"))
 
+    def numbered(spark, d):
+        m = matrix_of(C.count_combo(_reads(spark, d, "reads_combo", True), COMBO, pools(spark, d), 1), ["combinations"], True)
+        return M._named_rows(m).row_data.select("combinations.*", "name")
+
+    keys = "SELECT DISTINCT a.barcode AS first, b.barcode AS second FROM reads JOIN m USING (seq) JOIN pool a ON a.idx = m.idx // 1000000 JOIN pool2 b ON b.idx = m.idx % 1000000"
+    _add("combo_row_names", numbered, O.sql([*ctes(False), f"k AS ({keys})"], "SELECT first, second, 'BARCODE_' || row_number() OVER (ORDER BY first, second) AS name FROM k"))
+
+    def of_files(spark, d):
+        files = _files(spark, _reads(spark, d, "reads_combo", True), "ANR")
+        return M.matrix_of_combo(spark, files, COMBO, pools(spark, d), substitutions=1).counts.select("combinations.*", "sample", "counts")
+
+    _add("files_combo", of_files, SQL["combo_matrix"])
+
+    def of_pairs(spark, d):
+        files = _files(spark, _reads(spark, d, "pairs", True), "FOP", 2)
+        return M.matrix_of_combo_paired(spark, files, pools(spark, d), template=TWO, substitutions=1)
+
+    c = [*O.source("reads", "pairs"), *O.plain_pool("pool", "pool"), *O.plain_pool("pool2", "pool2"), *O.single("m1", "reads", "seq1", MATE1, "pool", 1, False, "original"), *O.single("m2", "reads", "seq2", MATE2, "pool2", 1, False, "original")]
+    c.append("w AS (SELECT sample, m1.idx AS a, m2.idx AS b FROM reads LEFT JOIN m1 USING (seq1) LEFT JOIN m2 USING (seq2))")
+    c.append("n AS (SELECT a.barcode AS first, b.barcode AS second, sample, count(*) AS n FROM w JOIN pool a ON a.idx = w.a JOIN pool2 b ON b.idx = w.b GROUP BY ALL)")
+    _add("files_combo_paired", lambda s, d: of_pairs(s, d).counts.select("combinations.*", "sample", "counts"), O.sql(c, "SELECT k.*, s.sample, coalesce(n, 0)::BIGINT AS counts FROM (SELECT DISTINCT first, second FROM n) k CROSS JOIN (SELECT DISTINCT sample FROM reads) s LEFT JOIN n USING (first, second, sample)"))
+    _add("files_combo_paired_totals", lambda s, d: of_pairs(s, d).col_data.select("sample", "npairs", "barcode1_only", "barcode2_only"), O.sql(c, "SELECT sample, count(*)::BIGINT AS npairs, count(*) FILTER (WHERE a IS NOT NULL AND b IS NULL)::BIGINT AS barcode1_only, count(*) FILTER (WHERE a IS NULL AND b IS NOT NULL)::BIGINT AS barcode2_only FROM w GROUP BY sample"))
+
     def combined(spark, d):
         t = counted(spark, d, sample=True)
         return combine_combo_counts({x: t.where(F.col("sample") == x) for x in "ANR"}).select("combinations.*", *"ANR")
@@ -175,6 +236,26 @@ def _duals() -> None:
     lost = "SELECT a.x, b.y, count(*)::BIGINT AS counts, false AS valid FROM rest JOIN c USING (seq) JOIN rows_ a ON a.idx = c.idx // 1000000 JOIN rows_ b ON b.idx = c.idx % 1000000 GROUP BY a.x, b.y"
     _add("dual_single_end_invalid", with_invalid, O.sql(ctes, f"SELECT x, y, counts, true AS valid FROM ({O.dense('m', 'reads', 'seq', 'rows_', 'p.x, p.y')}) UNION ALL {lost}"))
 
+    def with_invalid_totals(spark, d):
+        return C.count_dual(_reads(spark, d, "reads_dual"), frame(spark, d, "rows"), COMBO, 1, include_invalid=True).metadata
+
+    _add("dual_single_end_invalid_totals", with_invalid_totals, O.sql(ctes, f"SELECT (SELECT count(*) FROM reads)::BIGINT AS nreads, (SELECT coalesce(sum(counts), 0) FROM ({lost}))::BIGINT AS invalid_reads"))
+
+    def named(spark, d):
+        rows = frame(spark, d, "rows").withColumn("name", F.concat(F.lit("PAIR_"), F.col("idx").cast("string")))
+        files = _files(spark, _reads(spark, d, "reads_dual", True), "ANR")
+        return M.matrix_of_dual(spark, files, rows, COMBO, substitutions=1).counts
+
+    c = [*O.source("reads", "reads_dual"), *O.source("rows_", "rows"), *O.dual("m", "reads", COMBO, 1, False, "both", "rows_")]
+    _add("files_dual", named, O.sql(c, "SELECT p.idx::BIGINT AS idx, x, y, 'PAIR_' || p.idx AS name, s.sample, coalesce(n, 0)::BIGINT AS counts FROM rows_ p CROSS JOIN (SELECT DISTINCT sample FROM reads) s LEFT JOIN (SELECT sample, idx, count(*) AS n FROM reads JOIN m USING (seq) GROUP BY ALL) c ON c.idx = p.idx AND c.sample = s.sample"))
+
+    def files_invalid(spark, d):
+        files = _files(spark, _reads(spark, d, "reads_dual", True), "ANR")
+        return M.matrix_of_dual(spark, files, frame(spark, d, "rows"), COMBO, substitutions=1, include_invalid=True).counts
+
+    every = f"SELECT x, y, sample, count(*) AS n FROM reads JOIN m USING (seq) JOIN rows_ p ON p.idx = m.idx GROUP BY ALL UNION ALL {lost.replace('count(*)::BIGINT AS counts, false AS valid', 'sample, count(*) AS n').replace('GROUP BY a.x, b.y', 'GROUP BY a.x, b.y, sample')}"
+    _add("files_dual_invalid", files_invalid, O.sql([*ctes, f"n AS ({every})", "k AS (SELECT x, y FROM rows_ UNION SELECT x, y FROM n)"], "SELECT k.x, k.y, s.sample, coalesce(sum(n.n), 0)::BIGINT AS counts, EXISTS (SELECT 1 FROM rows_ r WHERE r.x = k.x AND r.y = k.y) AS valid FROM k CROSS JOIN (SELECT DISTINCT sample FROM reads) s LEFT JOIN n ON n.x = k.x AND n.y = k.y AND n.sample = s.sample GROUP BY k.x, k.y, s.sample"))
+
     both = lambda reads: [*O.source("reads", reads), *O.source("rows_", "rows")]
     for name, reads, best, randomized, ks in (("dual_paired_first", "pairs", False, False, (1, 1)), ("dual_paired_best", "pairs", True, False, (1, 1)), ("dual_paired_caps", "pairs", False, False, (1, 0)), ("dual_paired_randomized", "pairs_mixed", False, True, (1, 1)), ("dual_paired_randomized_best", "pairs_mixed", True, True, (1, 1))):
         def query(spark, d, reads=reads, best=best, randomized=randomized, ks=ks):
@@ -205,5 +286,20 @@ def _duals() -> None:
     _add("dual_matrix", matrix, O.sql(ctes, "SELECT p.idx::BIGINT AS idx, x, y, s.sample, coalesce(n, 0)::BIGINT AS counts FROM rows_ p CROSS JOIN (SELECT DISTINCT sample FROM reads) s LEFT JOIN (SELECT sample, idx, count(*) AS n FROM reads JOIN m USING (seq1, seq2) GROUP BY ALL) c ON c.idx = p.idx AND c.sample = s.sample"))
 
 
-for _make in (_singles, _matches, _randoms, _combos, _duals):
+def _last() -> None:
+    def paired(spark, d):
+        files = _files(spark, _reads(spark, d, "pairs", True), "FOP", 2)
+        return M.matrix_of_dual_paired(spark, files, frame(spark, d, "rows"), template=TWO, substitutions=1).counts
+
+    _add("files_dual_paired", paired, SQL["dual_matrix"])
+
+    def single(spark, d):
+        files = _files(spark, _reads(spark, d, "reads_both", True), "ANR")
+        return M.matrix_of_single(spark, files, Pool(frame(spark, d, "pool")), template=SINGLE, substitutions=1)
+
+    _add("files_single", lambda s, d: single(s, d).counts, SQL["single_matrix_long"])
+    _add("files_single_totals", lambda s, d: single(s, d).col_data.select("sample", "nreads", "nmapped"), SQL["single_totals"])
+
+
+for _make in (_singles, _matches, _randoms, _combos, _duals, _last):
     _make()
