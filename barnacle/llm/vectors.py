@@ -1,14 +1,17 @@
-"""Embedding near-duplicates by collision counting on sorted one-dimensional projections.
+"""Embedding near-duplicates by collision counting on one-dimensional projections.
 
-Each vector is projected on many random directions and enters the sorted lists of the TOP directions in which it is most extreme,
-on the side of its sign: near vectors are extreme in the same directions, others rarely are. In a list a vector collides
-with all whose projection is within a window centred on its own. A pair is verified by cosine in double precision if it collides
-in at least as many lists as calibrate() found to keep RECALL of the pairs at the threshold. That number depends on the
-dimension and the directions only, for random directions see nothing of two vectors but their angle, so no sample of the
-data is needed. A pair is handled in the first list in which it collides, so it counts once.
+Each vector is projected on COUNTED random directions. On each of these a pair collides if one's projection lies in a window that is centred on the other's and as wide
+as the difference of two vectors at the threshold has standard deviations (WIDTH). A pair at the threshold collides in two thirds of the projections, two random vectors in
+a sixth. A pair is verified by cosine in double precision if it collides at least as often as calibrate() found to keep RECALL of
+the pairs at the threshold; that number depends on the threshold alone, for random directions see nothing of two vectors but their angle, so no sample
+of the data is needed, and it drops nearly all other pairs.
 
-The number of directions follows the number of vectors, so that lists keep their length; a list longer than BLOCK is compared in
-blocks, whole. Equal vectors are one node with a number of copies. Blocks return sums of links and a spanning forest, never pairs.
+One-dimensional windows alone would compare a fixed share of all pairs, so what is counted against what is settled before: each vector enters the lists of the TOP of
+DIRECTIONS further directions in which it is most extreme, on the side of its sign. Near vectors are extreme in the same directions, others rarely are. Lists are the same at
+every size of the table; one longer than BLOCK is compared in blocks, whole, so their length costs time, never links. A pair is handled in its first
+common list, so it counts once.
+
+Equal vectors are one node with a number of copies. Blocks return sums of links and a spanning forest, never pairs.
 
 Vectors that are null, zero, empty, or hold null or non-finite components link with nothing, and vectors of different lengths don't
 link. Rows with a null vec_id link with nothing and have a null component_id. Rows with equal vec_id are separate vectors.
@@ -25,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import cut, heavy_keys, spread_join, stored, table
 from .graph import components
 from .neardup import forest
 
-TOP, BLOCK, RECALL, LEAST, MOST, PER_LIST = 8, 512, 0.999, 128, 16384, 64
+TOP, DIRECTIONS, BLOCK = 8, 2048, 512
+COUNTED, WIDTH, RECALL = 64, 1.0, 0.9995
 
 
 @lru_cache(maxsize=8)
@@ -37,43 +41,36 @@ def directions(dim: int, n: int) -> np.ndarray:
     return np.random.default_rng((dim, n)).standard_normal((dim, n)).astype(np.float32)
 
 
-def strongest(unit: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each row the lists (2 * direction + side) that it enters, and its projection in each."""
+def strongest(unit: np.ndarray, n: int = DIRECTIONS) -> np.ndarray:
+    """The lists (2 * direction + side) that each row enters."""
     p = unit.astype(np.float32) @ directions(unit.shape[1], n)
     top = np.argpartition(-np.abs(p), TOP, axis=1)[:, :TOP]
-    value = np.take_along_axis(p, top, axis=1)
-    return (2 * top + (value < 0)).astype(np.int32), np.abs(value)
+    return (2 * top + (np.take_along_axis(p, top, axis=1) < 0)).astype(np.int32)
+
+
+def projections(unit: np.ndarray) -> np.ndarray:
+    """A row for each direction in which collisions are counted."""
+    return np.ascontiguousarray((unit.astype(np.float32) @ directions(unit.shape[1], COUNTED)).T)
 
 
 def window(cosine: float) -> float:
-    """Half the width of a window: four standard deviations of the difference that a pair at the threshold has."""
-    return 4 * (2 - 2 * cosine) ** 0.5
+    """Half the width of a window."""
+    return WIDTH * (2 - 2 * cosine) ** 0.5
 
 
-def collisions(a: np.ndarray, va: np.ndarray, b: np.ndarray, vb: np.ndarray, w: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of a and b (lists, with projections) the number of lists in which the two collide, and the first of them."""
-    count, first = np.zeros(len(a), np.int32), np.full(len(a), np.iinfo(np.int32).max, np.int32)
-    for i in range(TOP):
-        for j in range(TOP):
-            hit = a[:, i] == b[:, j]
-            if hit.any():
-                hit &= np.abs(va[:, i] - vb[:, j]) <= w
-                count += hit
-                first[hit] = np.minimum(first[hit], a[hit, i])
-    return count, first
+def collisions(a: np.ndarray, b: np.ndarray, w: float) -> np.ndarray:
+    """In how many projections each column of a collides with each of b."""
+    count = np.zeros((a.shape[1], b.shape[1]), np.int8)
+    for x, y in zip(a, b):
+        count += np.abs(x[:, None] - y[None, :]) <= w
+    return count
 
 
 @lru_cache(maxsize=32)
-def calibrate(dim: int, n: int, cosine: float, recall: float = RECALL, trials: int = 4000) -> int:
-    """The largest number of collisions that this share of random pairs at the threshold reach; 1 at least."""
-    rng = np.random.default_rng(0)
-    x, y = rng.standard_normal((2, trials, dim))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    y -= (x * y).sum(axis=1, keepdims=True) * x
-    y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
-    (a, va), (b, vb) = strongest(x, n), strongest(cosine * x + (1 - cosine**2) ** 0.5 * y, n)
-    count, _ = collisions(a, va, b, vb, window(cosine))
-    return max(1, int(np.quantile(count, 1 - recall, method="lower")))
+def calibrate(cosine: float, recall: float = RECALL, trials: int = 100_000) -> int:
+    """The largest number of collisions that this share of pairs at the threshold reach: their differences are normal in each projection."""
+    d = np.random.default_rng(0).standard_normal((trials, COUNTED), np.float32) * (2 - 2 * cosine) ** 0.5
+    return max(1, int(np.quantile((np.abs(d) <= window(cosine)).sum(axis=1), 1 - recall, method="lower")))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,24 +90,22 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b["vec_id"], pa.array(fp, pa.binary()), pa.array(unit, pa.binary())], ["vec_id", "fp", "unit"])
 
 
-def _lists(n: int) -> Callable:
-    def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            units, fps, copies = b["unit"].to_pylist(), b["fp"].to_pylist(), b["copies"].to_pylist()
-            for size in sorted({len(u) for u in units}):
-                at = [i for i, u in enumerate(units) if len(u) == size]
-                for lo in range(0, len(at), 1000):
-                    part = at[lo : lo + 1000]
-                    lists, values = strongest(np.frombuffer(b"".join(units[i] for i in part), "<f8").reshape(len(part), -1), n)
-                    rows = np.repeat(np.arange(len(part)), TOP)
-                    pick = lambda c, t: pa.array([c[part[i]] for i in rows], t)
-                    tops, vals = ([x[i].tobytes() for i in rows] for x in (lists.astype("<i4"), values.astype("<f4")))
-                    yield pa.record_batch(
-                        [pa.array(np.full(len(rows), size // 8, np.int32)), pa.array(lists.ravel()), pa.array(values.ravel()), pick(fps, pa.binary()), pick(copies, pa.int64()), pick(units, pa.binary()), pa.array(tops, pa.binary()), pa.array(vals, pa.binary())],
-                        ["dim", "list", "value", "fp", "copies", "unit", "tops", "values"],
-                    )
-
-    return partition
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each list that a vector enters."""
+    for b in batches:
+        units, fps, copies = b["unit"].to_pylist(), b["fp"].to_pylist(), b["copies"].to_pylist()
+        for size in sorted({len(u) for u in units}):
+            at = [i for i, u in enumerate(units) if len(u) == size]
+            for lo in range(0, len(at), 1000):
+                part = at[lo : lo + 1000]
+                lists = strongest(np.frombuffer(b"".join(units[i] for i in part), "<f8").reshape(len(part), -1))
+                rows = np.repeat(part, lists.shape[1])
+                pick = lambda c, t: pa.array([c[i] for i in rows], t)
+                tops = [x.tobytes() for x in lists.astype("<i4") for _ in range(lists.shape[1])]
+                yield pa.record_batch(
+                    [pa.array(np.full(len(rows), size // 8, np.int32)), pa.array(lists.ravel()), pick(fps, pa.binary()), pick(copies, pa.int64()), pick(units, pa.binary()), pa.array(tops, pa.binary())],
+                    ["dim", "list", "fp", "copies", "unit", "tops"],
+                )
 
 
 def _runs(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
@@ -132,33 +127,35 @@ def _runs(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
-def _count(n: int, cosine: float) -> Callable:
+def _count(cosine: float) -> Callable:
     def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = window(cosine)
+        w, least = window(cosine), calibrate(cosine)
         for t in _runs(batches, ["dim", "list", "p", "q"]):
-            dim, this, p, q = (t[c][0].as_py() for c in ("dim", "list", "p", "q"))
+            this, p, q = (t[c][0].as_py() for c in ("list", "p", "q"))
             if len(t) < 2:
                 continue
-            least = calibrate(dim, n, cosine)
-            side, value, copies = (t[c].to_numpy() for c in ("b", "value", "copies"))
-            unit, tops, vals = (np.frombuffer(b"".join(t[c].to_pylist()), k).reshape(len(t), -1) for c, k in (("unit", "<f8"), ("tops", "<i4"), ("values", "<f4")))
-            # rows are sorted by their projection: each one's window ends where the next value is too large
-            end = np.searchsorted(value, value + w, "right")
-            i = np.repeat(np.arange(len(t)), end - np.arange(len(t)) - 1)
-            j = np.arange(len(i)) - np.repeat(np.concatenate(([0], np.cumsum(end - np.arange(len(t)) - 1)[:-1])), end - np.arange(len(t)) - 1) + i + 1
-            if p != q:
-                across = side[i] != side[j]
-                i, j = i[across], j[across]
-            links, found = np.zeros(len(t), np.int64), []
-            for lo in range(0, len(i), 100_000):
-                a, b = i[lo : lo + 100_000], j[lo : lo + 100_000]
-                count, first = collisions(tops[a], vals[a], tops[b], vals[b], w)
-                ok = (count >= least) & (first == this)
-                a, b = a[ok], b[ok]
-                ok = np.einsum("ij,ij->i", unit[a], unit[b]) >= cosine
-                found.append((a[ok], b[ok]))
-            a, b = (np.concatenate(c) if found else np.zeros(0, int) for c in zip(*found)) if found else (np.zeros(0, int),) * 2
+            side, copies = t["b"].to_numpy(), t["copies"].to_numpy()
+            unit, tops = (np.frombuffer(b"".join(t[c].to_pylist()), k).reshape(len(t), -1) for c, k in (("unit", "<f8"), ("tops", "<i4")))
+            one, two = np.flatnonzero(side == p), np.flatnonzero(side == q)
+            near, found = projections(unit), []
+            for lo in range(0, len(one), BLOCK):
+                rows = one[lo : lo + BLOCK]
+                for start in range(0, len(two), BLOCK):
+                    columns = two[start : start + BLOCK]
+                    a, b = np.nonzero(collisions(near[:, rows], near[:, columns], w) >= least)
+                    a, b = rows[a], columns[b]
+                    if p == q:
+                        a, b = a[a < b], b[a < b]
+                    ok = np.einsum("ij,ij->i", unit[a], unit[b]) >= cosine
+                    a, b = a[ok], b[ok]
+                    for at in range(0, len(a), 20_000):
+                        x, y = tops[a[at : at + 20_000]], tops[b[at : at + 20_000]]
+                        common = (x[:, :, None] == y[:, None, :]).any(axis=2)
+                        first = np.where(common, x, np.iinfo(np.int32).max).min(axis=1) == this
+                        found.append((a[at : at + 20_000][first], b[at : at + 20_000][first]))
+            a, b = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, int),) * 2
             if len(a):
+                links = np.zeros(len(t), np.int64)
                 np.add.at(links, a, copies[b])
                 np.add.at(links, b, copies[a])
                 fps = t["fp"].to_pylist()
@@ -177,19 +174,19 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     rows = stored(vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(_read, "vec_id long, fp binary, unit binary"))
     usable = rows.where("fp is not null and vec_id is not null")
     nodes = stored(usable.groupBy("fp").agg(F.first("unit").alias("unit"), F.count("*").alias("copies"), F.min("vec_id").alias("least")))
-    n = LEAST
-    while n < MOST and n * PER_LIST < nodes.count():
-        n *= 2
-    lists = nodes.select("fp", "copies", "unit").mapInArrow(_lists(n), "dim int, list int, value float, fp binary, copies long, unit binary, tops binary, values binary")
+    lists = nodes.select("fp", "copies", "unit").mapInArrow(_lists, "dim int, list int, fp binary, copies long, unit binary, tops binary")
     lists = stored(lists)
     sizes = lists.groupBy("dim", "list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     b, j = F.pmod(F.xxhash64("fp"), "blocks").cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     spread = lists.join(sizes, ["dim", "list"]).withColumn("b", b).withColumn("j", j).withColumn("p", F.least("b", "j")).withColumn("q", F.greatest("b", "j")).drop("j", "blocks")
-    found = stored(spread.repartition("dim", "list", "p", "q").sortWithinPartitions("dim", "list", "p", "q", "value").mapInArrow(_count(n, cosine), "a binary, b binary, links long"))
+    found = stored(spread.repartition("dim", "list", "p", "q").sortWithinPartitions("dim", "list", "p", "q").mapInArrow(_count(cosine), "a binary, b binary, links long"))
     links = found.where("b is null").groupBy(F.col("a").alias("fp")).agg(F.sum("links").alias("links"))
     labels = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "fp")
     known = nodes.select("fp", "copies", "least").join(labels, "fp", "left").join(links, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    known = known.join(known.groupBy("label").agg(F.min("least").alias("component_id")), "label")
+    known = cut(known)
+    # the label of a large component has its nodes in several tasks
+    heavy = heavy_keys(known, ["label"], known.count())
+    known = spread_join(known, known.groupBy("label").agg(F.min("least").alias("component_id")), ["label"], heavy, "fp")
     known = known.select("fp", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = rows.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("fp")).alias("fp")).join(known, "fp", "left")
     component = F.coalesce("component_id", "vec_id")

@@ -456,6 +456,23 @@ def test_shards(spark, docs, heavy):
     assert all(len(s) == 1 for t, s in placed.items() if t != "hot text") and len(placed["hot text"]) > 1
 
 
+def test_collisions_find_near_pairs_and_drop_others():
+    rng = np.random.default_rng(4)
+    for dim in (32, 64, 384):
+        x, y, z = rng.standard_normal((3, 2000, dim))
+        x, y, z = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y, z))
+        y -= (x * y).sum(axis=1, keepdims=True) * x
+        y = 0.95 * x + (1 - 0.95**2) ** 0.5 * y / np.linalg.norm(y, axis=1, keepdims=True)
+        w, least = vectors.window(0.95), vectors.calibrate(0.95)
+        px, py, pz = (vectors.projections(v) for v in (x, y, z))
+        near, far = (np.abs(px - p) <= w for p in (py, pz))
+        assert 0.6 < near.mean() < 0.75 and far.mean() < 0.25  # a window drops most random pairs
+        assert least > 20 and (near.sum(axis=0) >= least).mean() > 0.998 and (far.sum(axis=0) >= least).mean() < 0.001  # and the count nearly all
+        assert (vectors.collisions(px[:, :50], py[:, :40], w) == (np.abs(px[:, :50, None] - py[:, None, :40]) <= w).sum(axis=0)).all()
+        a, b = vectors.strongest(x), vectors.strongest(y)
+        assert (a[:, :, None] == b[:, None, :]).any(axis=(1, 2)).mean() > 0.99
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(8)
     base = rng.standard_normal((260, 24))
@@ -469,6 +486,7 @@ def test_vectors(spark):
     u = np.array([v / np.abs(v).max() for v in x])
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     link = u @ u.T >= 0.95
+    assert link.sum() > 15_000
     want = link.sum(axis=1) - 1
     got = np.array([out[i]["n_links"] for i in range(len(x))])
     assert (got <= want).all() and got.sum() >= 0.99 * want.sum()
