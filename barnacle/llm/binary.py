@@ -181,7 +181,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = cut(read_ids(spark, path).select("file", "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")))
     files = read.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     # one row for each file, that is for each partition that was written; names hold the partition's number, padded to five digits at least
-    number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
+    number = F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).cast("long")
     before = F.coalesce(F.sum("n").over(Window.orderBy(number).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return read.join(files.select("file", before.alias("base")), "file").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 

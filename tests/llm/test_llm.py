@@ -505,3 +505,74 @@ def test_empty_tables(spark, docs, labels, tmp_path):
         urls.url_verdicts(spark.createDataFrame([], "page_id long, url string, html string")), vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")),
     ]
     assert [df.count() for df in results] == [0] * len(results)
+
+
+@pytest.mark.parametrize("name", ["op4_near_duplicates", "op10_near_vectors"])
+def test_queries_against_sql(spark, name):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    df, found = entry.queries()[name](spark, sf), con.execute(entry.oracle_sql()[name])
+    columns = [c[0] for c in found.description]
+    assert Counter(tuple(r[c] for c in columns) for r in df.collect()) == Counter(found.fetchall())
+
+
+def test_pipeline_stages(spark, docs, labels, tmp_path):
+    from corpus_pipeline import STAGES, run
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    now, key = spark.read.parquet(f"{tmp_path}/documents.parquet"), lambda r: (r["doc_id"], r["text"])
+    for n, (name, stage) in enumerate(STAGES[:-1]):
+        out = stage(spark, now, str(tmp_path))
+        assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{n}")
+        before, after = Counter(map(key, now.collect())), Counter(map(key, spark.read.parquet(f"{tmp_path}/{n}").collect()))
+        assert not after - before
+        if name == "toxicity":
+            model = toxicity.train(now, labels)
+            flagged = toxicity.toxicity(now, model).where("predicted = 1").count()
+            assert sum(before.values()) - sum(after.values()) == flagged
+        if name == "quality classifier":
+            assert after and all(t for _, t in after)
+        if name == "near-dedup":
+            sets = [frozenset(shingles(t, 5)) for _, t in after.elements()]
+            assert len(set(sets)) == len(sets)
+            assert {frozenset(shingles(t, 5)) for _, t in before} >= set(sets)
+        now = spark.read.parquet(f"{tmp_path}/{n}")
+    library = tokens_of(public_tokenizers.path("byte_bpe_50k.json"))
+    want = Counter((r["doc_id"], len(x) // 4 + 1) for r, x in zip(now.collect(), library.ids([r["text"] for r in now.collect()])))
+    for pieces in (STAGES[-1][1](spark, now, str(tmp_path)), run(spark, str(tmp_path))):
+        rows = pieces.collect()
+        assert Counter((r["doc_id"], r["doc_tokens"]) for r in rows if r["start"] == 0) == want
+        assert sum(r["length"] for r in rows) == sum(n * times for (_, n), times in want.items())
+
+
+def test_very_long_texts(spark, labels):
+    rng = random.Random(11)
+    long = " ".join(rng.choice(WORDS) for _ in range(20_000))
+    rows = [(0, long, "en"), (1, long + " end", "en"), (2, "y" * 200_000, "en"), (3, "short", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert [r["component_id"] for r in neardup.near_duplicates(df).orderBy("doc_id").collect()] == [0, 0, 2, 3]
+    assert [r["n_words"] for r in quality.quality_rules(df, labels).orderBy("doc_id").collect()] == [20_000, 20_001, 1, 1]
+    assert sharding.vector_shards(df).count() == 4
+    ids = tokens_of(public_tokenizers.path("byte_bpe_50k.json")).ids([t for _, t, _ in rows])
+    packed = packing.pack(df, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert sum(r["length"] for r in packed) == sum(len(x) // 4 + 1 for x in ids)
+
+
+def test_hot_keys_are_spread(spark):
+    from barnacle.llm.common import heavy_keys, least_hashed, spread_join
+
+    many = spark.range(6000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN -1 ELSE id END AS k")
+    one = many.select("k").distinct().selectExpr("k", "k * 2 AS v")
+    heavy = heavy_keys(many, ["k"], 6000)
+    assert [tuple(r) for r in heavy.collect()] == [(-1, 4)]
+    out = spread_join(many, one, ["k"], heavy, "id")
+    assert Counter(tuple(r) for r in out.select("id", "k", "v").collect()) == Counter((r["id"], r["k"], 2 * r["k"]) for r in many.collect())
+    want = [r["id"] for r in many.orderBy(F.xxhash64("id"), "id").limit(50).collect()]
+    assert [r["id"] for r in least_hashed(many, "id", 50).collect()] == want and least_hashed(many, "id", 9000).count() == 6000
