@@ -5,7 +5,8 @@ import pytest
 
 from barnacle.operators.counters import count_single
 from barnacle.operators.matrix import matrix_of_single
-from barnacle.sources.fastq import parse, read_fastq, read_fastq_pairs, write_fastq
+from barnacle.operators.counters import count_combo, count_random
+from barnacle.sources.fastq import Inflated, compressed, opened, parse, plain, read_fastq, read_fastq_pairs, write_fastq
 from barnacle.streaming.counts import stream_counts, total
 
 
@@ -36,6 +37,30 @@ def test_errors(text, message):
         records(text)
 
 
+def test_buffers_and_streams(tmp_path):
+    text = "".join(f"@r{i}\n{'ACGT' * (i % 40 + 1)}\n+\n{'IIII' * (i % 40 + 1)}\n" for i in range(3000)).encode()
+    want = list(parse(io.BytesIO(text)))
+    for data, mode in ((text, None), (compressed(text), None), (compressed(text, "zlib"), None), (compressed(text, "deflate"), "deflate"), (compressed(text, "zlib"), "auto"), (compressed(text), "gzip")):
+        assert list(parse(plain(data, mode))) == want
+        assert list(parse(plain(io.BytesIO(data), mode))) == want
+    # members one after another, as block-wise compressors write them
+    assert list(parse(plain(compressed(text[:-4000]) + compressed(text[-4000:])))) == want
+    assert io.BufferedReader(Inflated(io.BytesIO(compressed(text)), block=7)).read() == text
+    with pytest.raises(ValueError, match="premature end of the compressed stream"):
+        plain(compressed(text)[:-20]).read()
+    (tmp_path / "reads.bin").write_bytes(compressed(text, "zlib"))
+    assert list(parse(opened(f"file://{tmp_path}/reads.bin"))) == list(parse(opened(str(tmp_path / "reads.bin")))) == want
+    with pytest.raises(ValueError, match="failed to open file"):
+        opened(f"file://{tmp_path}/none")
+
+
+def test_tables_are_in_order(spark):
+    reads = spark.createDataFrame([(s,) for s in ("ACGTGGAATTTGCA", "ACGTCCAAGGTGCA", "ACGTGGAAGGTGCA")] * 2, "seq string")
+    table = count_combo(reads, "ACGTNNAANNTGCA", [["GG", "CC"], ["TT", "GG"]]).table.collect()
+    assert [(r["i0"], r["i1"]) for r in table] == [(0, 0), (0, 1), (1, 1)]
+    assert [r["sequences"] for r in count_random(reads, "ACGTNNAANNTGCA").table.collect()] == ["CC", "GG"]
+
+
 def test_source(spark, tmp_path):
     text = b"@r1\nACGTGGTGCA\n+\n@@@@@@@@@@\n@r2\nTTTT\n+\nIIII\n"
     (tmp_path / "plain.gz").write_bytes(text)
