@@ -77,6 +77,22 @@ def test_trees_are_monotone():
         assert (way * np.diff(t.predict(grid).reshape(50, 21), axis=1) >= -1e-12).all()
 
 
+def test_trees_score_as_a_plain_walk_does():
+    rng = np.random.default_rng(5)
+    x = np.round(rng.random((800, 4)), 1)  # with many ties at the thresholds
+    t = Trees([0, -1, 0, 1], trees=12).fit(x, (x[:, 0] + x[:, 3] > x[:, 1] + 0.5).astype(float))
+    assert (t.feature >= 0).any()
+    for row, got in zip(x[:200], t.predict(x[:200])):
+        score = t.base
+        for feature, threshold, value in zip(t.feature, t.threshold, t.value):
+            node = 0
+            while feature[node] >= 0:
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            score += value[node]
+        assert got == pytest.approx(1 / (1 + math.exp(-score)))
+    assert len(t.predict(x[:0])) == 0
+
+
 def test_toxicity_separates_held_out(spark, docs, labels):
     rng = random.Random(3)
     plain = lambda n: [rng.choice(WORDS) for _ in range(n)]
