@@ -79,18 +79,22 @@ def least_hashed(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.orderBy(h, key).limit(n)
 
 
-def heavy_keys(df: DataFrame, keys: list[str], total: int, most: int = 2000, least: int = 500) -> DataFrame:
-    """keys and parts of those keys of df that have more than a share 1 / most of total rows, and more than `least`: into how many parts to split them.
+def heavy_keys(df: DataFrame, keys: list[str], total: int, most: int = 2000, least: int = 500) -> DataFrame | None:
+    """keys and parts of those keys of df that have more than a share 1 / most of total rows, and more than `least`: into how many parts to split
+    them. None if there are none.
 
     Not more than `most` keys can have such a share, so the result may be broadcast whatever the size of df.
     """
     size = max(least, -(-total // most))
     counts = df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > size)
-    return counts.select(*keys, F.ceil(F.col("n") / size).cast("int").alias("parts"))
+    found = cut(counts.select(*keys, F.ceil(F.col("n") / size).cast("int").alias("parts")))
+    return None if found.isEmpty() else found
 
 
-def spread_join(many: DataFrame, one: DataFrame, keys: list[str], heavy: DataFrame, by: str, how: str = "inner") -> DataFrame:
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], heavy: DataFrame | None, by: str, how: str = "inner") -> DataFrame:
     """many joined with one on keys; the rows of a heavy key go to several tasks by a hash of column by, and the row of one to each of them."""
+    if heavy is None:
+        return many.join(one, keys, how)
     heavy = F.broadcast(heavy)  # bounded, see heavy_keys()
     part = F.pmod(F.xxhash64(by), F.coalesce("parts", F.lit(1))).cast("int")
     left = many.join(heavy, keys, "left").withColumn("part_of_key", part).drop("parts")

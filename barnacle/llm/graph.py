@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from .common import cut, heavy_keys, spread_join
 
 
-def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
+def _star(edges: DataFrame, large: bool, total: int = 0) -> DataFrame:
     """Connect the neighbours of each node that are larger (large) or smaller (not large) than it to the least one.
 
-    A node with very many neighbours, such as the first of a group of copies, has them spread over several tasks.
+    In a large star, a node with very many neighbours, such as the first of a group of copies, has them spread over several tasks. After it no
+    node has many smaller ones.
     """
     both = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
     around = edges.unionByName(both) if large else edges
     least = around.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
-    found = spread_join(around, least, ["a"], heavy_keys(around, ["a"], 2 * total), "b")
+    found = spread_join(around, least, ["a"], heavy_keys(around, ["a"], 2 * total) if large else None, "b")
     moved = found.where("b > a" if large else "b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     if not large:
         moved = moved.unionByName(least.select("a", F.col("m").alias("b")))
@@ -28,7 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen, total = None, now.count()
     while True:
-        now = cut(_star(_star(now, True, total), False, total))
+        now = cut(_star(_star(now, True, total), False))
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             break

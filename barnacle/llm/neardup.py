@@ -165,7 +165,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     one = nodes.join(members, "fp", "left_semi").select("fp", F.col("least").alias("doc_id"))
     sets = stored(one.join(docs, "doc_id").mapInArrow(_sets(k), "fp binary, elements binary").dropDuplicates(["fp"]))
     # a leader with very many members has them in several tasks
-    heavy = cut(heavy_keys(near, ["leader"], near.count()))
+    heavy = heavy_keys(near, ["leader"], near.count())
     with_leader = lambda df, one, how="inner": spread_join(df, one, ["leader"], heavy, "fp", how)
     salted = with_leader(near, sizes).select("leader", "fp", F.pmod(F.xxhash64("fp"), "blocks").cast("int").alias("salt"), F.lit(1).alias("member"))
     salted = salted.unionByName(sizes.select("leader", F.col("leader").alias("fp"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), F.lit(0).alias("member")))

@@ -68,6 +68,7 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, step
 
     Without steps, until they add less than TOLERANCE.
     """
+    edges = cut(edges)
     both = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "w")
     both = both.unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), "w"))
     out = both.groupBy("kind", "a").agg(F.sum("w").alias("total"))
@@ -75,7 +76,7 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, step
     start = cut(seeds.select("node", F.explode(F.map_from_arrays(F.array(F.lit("trust"), F.lit("distrust")), F.array(F.col("trust").cast("double"), F.col("distrust").cast("double")))).alias("kind", "mass")).where("mass > 0"))
     now = start
     if n_edges := both.count():
-        heavy = cut(heavy_keys(both, ["kind", "a"], n_edges))
+        heavy = heavy_keys(both, ["kind", "a"], n_edges)
         total = lambda df: df.agg(F.coalesce(F.sum("mass"), F.lit(0.0))).first()[0]
         seeded = before = total(start)
         for step in count() if steps is None else range(steps):
