@@ -387,7 +387,9 @@ def count_random(reads: DataFrame, template: str, substitutions: int = 0, find_b
         rows = rows.select(*by, "found", F.array_min(F.transform("found", lambda h: h["cm"])).alias("least"))
         rows = rows.select(*by, F.filter("found", lambda h: h["cm"] == F.col("least")).alias("found"))
     hit = F.when(F.size("found") == 1 if find_best else F.size("found") > 0, F.get("found", F.lit(0)))
-    rows = rows.select(*by, hit.alias("h")).groupBy(*by, "h.is_reverse", F.col("h.v")[0].alias("v")).agg(F.count("*").alias("w")).where("v is not null")
+    rows = rows.select(*by, hit.alias("h")).select(*by, "h.is_reverse", F.col("h.v")[0].alias("v"))
+    # a test of v itself would be pushed down to the scan, where it would search each read again
+    rows = rows.groupBy(*by, "is_reverse", "v").agg(F.count("v").alias("w")).where("w > 0")
     odd = F.col("is_reverse") & F.col("v").rlike("[^ACGTN]")
     sequence = F.when(odd, F.raise_error(F.concat(F.lit("cannot complement base in "), F.col("v"))).cast("string")).otherwise(F.col("v"))
     table = rows.select(*by, sequence.alias("sequences"), "w").groupBy(*by, "sequences").agg(F.sum("w").alias("counts"))
