@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,17 +55,22 @@ def fresh_path(spark: SparkSession) -> str:
     return _made[-1]
 
 
+def remove(spark: SparkSession, made: str) -> None:
+    """Delete one of these folders."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(made)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _made.remove(made)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete the folders of intermediate tables: call it once no result that reads them is needed."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(conf).delete(path, True)
+        remove(spark, _made[-1])
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the shared folder and read again."""
-    path = fresh_path(df.sparkSession)
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """df written as Parquet in the shared folder, at a new path or the one given, and read again."""
+    path = path or fresh_path(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -102,6 +111,45 @@ def spread_join(many: DataFrame, one: DataFrame, keys: list[str], heavy: DataFra
     return left.join(right, [*keys, "part_of_key"], how).drop("part_of_key")
 
 
+def release() -> None:
+    """Give the memory that this process has freed back to the system; Arrow and the C library else keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
+
+
+def lean(partition: Callable) -> Callable:
+    """partition, a function for mapInArrow, with release() at its end: Spark keeps Python workers for later stages, beside whose joins and sorts
+    the memory that a task has freed would count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from partition(batches)
+        finally:
+            release()
+
+    return run
+
+
+#: Bytes of a batch that goes to a Python worker after bounded().
+SMALL = 2_000_000
+
+
+def bounded(spark: SparkSession) -> None:
+    """Settings of the session that bound what an executor holds outside its heap; results don't depend on them.
+
+    Batches for Python workers have SMALL bytes at most, or one row: the executor holds one several times for each task, and the worker once more, and
+    the session's limits are 64 MB and 10,000 rows by default. Parquet's parallel reads go, unless the session has a setting for them, for the threads that make them keep buffers as
+    large as the column chunks that they read.
+    """
+    if not 0 < spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() <= SMALL:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(SMALL))
+    if spark.conf.get("parquet.hadoop.vectored.io.enabled", None) is None:
+        spark.conf.set("parquet.hadoop.vectored.io.enabled", "false")
+
+
 def words(text: str | None) -> list[bytes]:
     """The words of a text as UTF-8; bytes.split() takes just the white space that WORD excludes."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

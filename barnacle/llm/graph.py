@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, heavy_keys, spread_join
+from .common import fresh_path, heavy_keys, remove, spread_join, stored
 
 
 def _star(edges: DataFrame, large: bool, total: int = 0) -> DataFrame:
@@ -25,11 +25,19 @@ def _star(edges: DataFrame, large: bool, total: int = 0) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and label (the least node of its component) of every node that edges (a, b; any orderable type) name."""
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    """node and label (the least node of its component) of every node that edges (a, b; any orderable type) name.
+
+    Each step's edges are stored, and those of the step before deleted. Read again, the small files of many partitions take few tasks, while a
+    checkpoint takes as many as there were partitions at every use, each with shuffle files of its own.
+    """
+    spark = edges.sparkSession
+    path = fresh_path(spark)
+    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), path)
     seen, total = None, now.count()
     while True:
-        now = cut(_star(_star(now, True, total), False))
+        before, path = path, fresh_path(spark)
+        now = stored(_star(_star(now, True, total), False), path)
+        remove(spark, before)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             break

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, heavy_keys, spread_join, stored, table, words
+from .common import heavy_keys, lean, spread_join, stored, table, words
 from .graph import components
 from .sketch import SIZE, fingerprint, shingles, sketch
 
@@ -152,38 +152,38 @@ def _in_blocks(percent: int) -> Callable:
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    rows = stored(docs.mapInArrow(_sketched(k), "doc_id long, n_shingles long, fp binary, sketch binary"))
+    rows = stored(docs.mapInArrow(lean(_sketched(k)), "doc_id long, n_shingles long, fp binary, sketch binary"))
     usable = rows.where("fp is not null and doc_id is not null")
     nodes = stored(usable.groupBy("fp").agg(F.first("sketch").alias("sketch"), F.min("doc_id").alias("least")))
     width = 4 * ROWS
     bands = nodes.select("fp", F.explode(F.array(*(F.xxhash64(F.lit(i), F.substring("sketch", i * width + 1, width)) for i in range(SIZE // ROWS)))).alias("bucket"))
     leaders = bands.groupBy("bucket").agg(F.min("fp").alias("leader"), F.max("fp").alias("last")).where("leader < last").select("bucket", "leader")
-    near = cut(bands.join(leaders, "bucket").where("fp > leader").select("leader", "fp").distinct())
+    near = stored(bands.join(leaders, "bucket").where("fp > leader").select("leader", "fp").distinct())
 
     sizes = near.groupBy("leader").agg(F.ceil((F.count("*") + 1) / BLOCK).cast("int").alias("blocks"))
     members = near.select("fp").unionByName(near.select(F.col("leader").alias("fp"))).distinct()
     one = nodes.join(members, "fp", "left_semi").select("fp", F.col("least").alias("doc_id"))
-    sets = stored(one.join(docs, "doc_id").mapInArrow(_sets(k), "fp binary, elements binary").dropDuplicates(["fp"]))
+    sets = stored(one.join(docs, "doc_id").mapInArrow(lean(_sets(k)), "fp binary, elements binary").dropDuplicates(["fp"]))
     # a leader with very many members has them in several tasks
     heavy = heavy_keys(near, ["leader"], near.count())
     with_leader = lambda df, one, how="inner": spread_join(df, one, ["leader"], heavy, "fp", how)
     salted = with_leader(near, sizes).select("leader", "fp", F.pmod(F.xxhash64("fp"), "blocks").cast("int").alias("salt"), F.lit(1).alias("member"))
     salted = salted.unionByName(sizes.select("leader", F.col("leader").alias("fp"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), F.lit(0).alias("member")))
-    first = salted.join(sets, "fp").repartition("leader", "salt").sortWithinPartitions("leader", "salt", "member").mapInArrow(_with_leader(percent), "leader binary, fp binary, linked boolean")
-    first = cut(first)
+    first = salted.join(sets, "fp").repartition("leader", "salt").sortWithinPartitions("leader", "salt", "member").mapInArrow(lean(_with_leader(percent)), "leader binary, fp binary, linked boolean")
+    first = stored(first)
 
     labels = components(first.where("linked").select(F.col("leader").alias("a"), F.col("fp").alias("b")))
     # members outside their leader's component, against all members
     label = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
     tagged = with_leader(first.join(label("fp"), "fp", "left"), label("leader"), "left")
-    tagged = cut(tagged.select("leader", "fp", (F.coalesce("fp_label", "fp") != F.coalesce("leader_label", "leader")).alias("odd")))
+    tagged = stored(tagged.select("leader", "fp", (F.coalesce("fp_label", "fp") != F.coalesce("leader_label", "leader")).alias("odd")))
     count = tagged.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("qs"), F.ceil(F.count_if("odd") / BLOCK).cast("int").alias("ps"), F.count("*").alias("n")).where("ps > 0 and n > 1")
     block = lambda n: F.pmod(F.xxhash64("fp"), n).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     xs = with_leader(tagged.where("odd"), count).select("leader", "fp", block("ps").alias("p"), upto("qs").alias("q"), F.lit(True).alias("side"))
     ys = with_leader(tagged, count).select("leader", "fp", block("qs").alias("q"), upto("ps").alias("p"), F.lit(False).alias("side"))
     blocks = xs.unionByName(ys).join(sets, "fp").repartition("leader", "p", "q").sortWithinPartitions("leader", "p", "q")
-    more = blocks.mapInArrow(_in_blocks(percent), "a binary, b binary")
+    more = blocks.mapInArrow(lean(_in_blocks(percent)), "a binary, b binary")
     labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
     known = nodes.select("fp", "least").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = known.groupBy("label").agg(F.min("least").alias("component_id"))

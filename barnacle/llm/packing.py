@@ -20,8 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
-from .tokens import tokens_of
+from .common import lean, stored, table
+from .tokens import SLICE, tokens_of
 
 WINDOWS, LENGTH, MERGE = 32, 1024, 64
 #: First sequence_id of merged leftovers; those of partition p start at p << 36.
@@ -111,8 +111,8 @@ class Rows:
         return out
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = LENGTH, windows: int = WINDOWS, keep_ids: bool = True, fill: bool = True) -> DataFrame:
-    """One row for each piece of each document; ids: its token ids as little-endian unsigned 32-bit integers, if kept."""
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = LENGTH, windows: int = WINDOWS, keep_ids: bool = True, fill: bool = True, most: int = SLICE) -> DataFrame:
+    """One row for each piece of each document; ids: its token ids as little-endian unsigned 32-bit integers, if kept. most: bytes of text that are encoded at once."""
     end = end_id.to_bytes(4, "little")
 
     def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +120,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = LENGTH,
         rows = Rows(part << 36, part, keep_ids)
         packer = Packer(rows.sequence, length, windows, fill)
         for b in batches:
-            for lo, found in tokens.slices(b["text"]):
+            for lo, found in tokens.slices(b["text"], most):
                 for doc_id, ids in zip(b["doc_id"].slice(lo, len(found)).to_pylist(), found):
                     packer.add(doc_id, ids.astype("<u4").tobytes() + end)
                 yield rows.batch()
@@ -135,7 +135,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = LENGTH,
         rows.sequence(packer.finish())
         return pa.Table.from_batches([rows.batch()])
 
-    first = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(partition, PIECE))
+    first = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(partition), PIECE))
     merged = first.where("sequence_id is null").withColumn("g", F.floor(F.col("part") / MERGE)).groupBy("g").applyInArrow(merge, PIECE)
     return first.where("sequence_id is not null").unionByName(merged).drop("part")
 

@@ -165,13 +165,13 @@ class Tokens:
                     out[i] = ids
         return out
 
-    def slices(self, texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
-        """The number of the first text of each slice, and the ids of its texts."""
+    def slices(self, texts: pa.Array, most: int = SLICE) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """The number of the first text of each slice (of most bytes, or one text), and the ids of its texts."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         size = np.asarray(pc.binary_length(texts)).cumsum() if len(texts) else np.zeros(0, np.int64)
         lo = 0
         while lo < len(texts):
-            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + SLICE, "right")))
+            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + most, "right")))
             yield lo, self._slice(texts.slice(lo, hi - lo))
             lo = hi
 

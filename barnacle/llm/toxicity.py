@@ -26,7 +26,7 @@ import zstandard as Z
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import least_hashed, table, words
+from .common import lean, least_hashed, table, words
 
 #: Documents of a label for the dictionaries, and as many again at most for calibration.
 SAMPLE = 1500
@@ -168,7 +168,7 @@ def _score(model: Model | None) -> Callable:
 
 def toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, score and predicted of every row of docs (doc_id, text)."""
-    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_score(model), "doc_id long, score double")
+    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(_score(model)), "doc_id long, score double")
     return out.withColumn("predicted", (F.col("score") >= TOXIC_AT).cast("int"))
 
 
@@ -181,7 +181,7 @@ def drop_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
             scores = model.scores(b.column(names.index("text")).to_pylist()) if model else np.zeros(len(b))
             yield b.filter(pa.array(scores < TOXIC_AT))
 
-    return docs.mapInArrow(partition, docs.schema).select(*kept)
+    return docs.mapInArrow(lean(partition), docs.schema).select(*kept)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barnacle.llm.common import cut, fresh_path, table
+from barnacle.llm.common import bounded, fresh_path, stored, table
 from barnacle.llm.kneser import quality_filter
 from barnacle.llm.neardup import near_duplicates
 from barnacle.llm.packing import pack
@@ -24,22 +24,25 @@ from barnacle.llm.toxicity import drop_toxic, train
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     return drop_toxic(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     return quality_filter(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     key, doc_id = "near_dedup_key", F.col("doc_id").cast("long")
     keyed = docs.withColumn(key, F.xxhash64(doc_id, "text"))
     found = near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text")).where("n_shingles > 0").groupBy(F.col("doc_id").alias(key))
     # unlike texts that happen to share a key: none of them is judged
     found = found.agg(F.min("component_id").alias("of"), F.max("component_id").alias("last")).where("of = last").drop("last")
-    rows = cut(keyed.groupBy(key).agg(F.min(doc_id).alias("id"), F.count("*").alias("n")).join(found, key))
+    rows = stored(keyed.groupBy(key).agg(F.min(doc_id).alias("id"), F.count("*").alias("n")).join(found, key))
     first = rows.groupBy("of").agg(F.min(F.struct(F.col("id").isNull(), "id", key)).getField(key).alias("first"))
-    rows = cut(rows.join(first, "of").where(f"{key} <> first or n > 1").select(key, (F.col(key) == F.col("first")).alias("stays")))
+    rows = stored(rows.join(first, "of").where(f"{key} <> first or n > 1").select(key, (F.col(key) == F.col("first")).alias("stays")))
     one = keyed.join(rows.where("stays"), key, "left_semi").dropDuplicates([key])  # of equal rows
     return keyed.join(rows, key, "left_anti").unionByName(one).select(*docs.columns)
 
@@ -47,7 +50,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    bounded(spark)
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), most=1_000_000)
 
 
 STAGES = [("toxicity", toxicity), ("quality classifier", quality), ("near-dedup", near_dedup), ("packing", packing)]

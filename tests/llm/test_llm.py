@@ -3,10 +3,14 @@
 import hashlib
 import math
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 tiktoken = pytest.importorskip("tiktoken")
@@ -14,7 +18,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from barnacle.llm import binary, bpe, kneser, neardup, packing, quality, sharding, toxicity, urls, vectors  # noqa: E402
+from barnacle.llm import binary, bpe, common, kneser, neardup, packing, quality, sharding, toxicity, urls, vectors  # noqa: E402
 from barnacle.llm.gbt import Trees  # noqa: E402
 from barnacle.llm.graph import components  # noqa: E402
 from barnacle.llm.sketch import sketch  # noqa: E402
@@ -253,6 +257,70 @@ def test_components(spark):
     assert got == {n: v for n, v in label.items() if any(n in e and e[0] != e[1] for e in edges)}
 
 
+def test_components_of_many_partitions(spark):
+    # a step leaves no folder, and its many small files are few tasks for the next one
+    edges = [(i, i + 1) for i in range(300)]
+    made = len(common._made)
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = components(spark.createDataFrame(edges, "a long, b long"))
+        assert {tuple(r) for r in found.collect()} == {(i, 0) for i in range(301)}
+        assert len(common._made) == made + 1
+        assert found.where("node <> label").select("node").rdd.getNumPartitions() < 80  # two uses
+        assert len(found.inputFiles()) > 30
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+
+
+HELD = r"""
+import re, sys
+import pyarrow as pa
+from barnacle.llm import common
+
+
+def mb():
+    return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+
+def task(batches):
+    held = [bytes(50_000) for _ in range(4000)]
+    top.append(bytes(50_000))  # lies after them and stays, so that the C library's heap can't just shrink
+    yield from batches
+
+
+top, before = [], mb()
+list((getattr(common, sys.argv[1]) if len(sys.argv) > 1 else lambda f: f)(task)(iter([pa.record_batch([pa.array([1])], ["a"])])))
+print(mb() - before)
+"""
+
+
+@pytest.mark.skipif(not Path("/proc/self/smaps_rollup").exists(), reason="memory can't be read here")
+def test_tasks_give_memory_back():
+    run = lambda *a: float(subprocess.run([sys.executable, "-c", HELD, *a], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2]).stdout)
+    assert run() > 100 > 50 > run("lean")
+
+
+def test_bounded(spark):
+    keys = ("spark.sql.execution.arrow.maxBytesPerBatch", "parquet.hadoop.vectored.io.enabled")
+    sizes = spark.range(0, 6000, 1, 1).select(F.repeat(F.lit("x"), 5000).alias("text")).mapInArrow(lambda bs: (b.select([]).append_column("n", pa.array([b.nbytes] * len(b))) for b in bs), "n long")
+    most = lambda: sizes.agg(F.max("n")).first()[0]
+    for k in keys:
+        spark.conf.unset(k)
+    assert most() > 5 * common.SMALL
+    common.bounded(spark)
+    assert most() < 1.2 * common.SMALL and spark.conf.get(keys[1]) == "false"
+    try:
+        spark.conf.set(keys[0], "1m")
+        spark.conf.set(keys[1], "true")
+        common.bounded(spark)  # what the session has stays
+        assert most() < 1.2 * 2**20 and spark.conf.get(keys[1]) == "true"
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
+
+
 def test_bpe(docs):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     tree, cache = bpe.loaded(path, public_tokenizers.PATTERN)
