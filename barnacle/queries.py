@@ -40,6 +40,11 @@ def _fresh(spark) -> str:
     return os.path.join(base.removeprefix("file:"), "barnacle-fastq", uuid.uuid4().hex)
 
 
+def _pool(spark, d, name) -> Pool:
+    """Barcodes of IUPAC codes may overlap: as in the SQL, a sequence that several of them match as well is none's."""
+    return Pool(frame(spark, d, name), "none" if name == "pool_iupac" else "error")
+
+
 def _files(spark, reads: DataFrame, samples: str, mates: int = 1) -> list:
     """FASTQ folders of the reads of each sample, or pairs of folders."""
     path, out = _fresh(spark), []
@@ -63,7 +68,7 @@ def _singles() -> None:
         ("single_iupac", "reads_both", "pool_iupac", 1, True, "both"),
     ):
         def query(spark, d, reads=reads, pool=pool, k=k, best=best, strand=strand):
-            return C.count_single(_reads(spark, d, reads), Pool(frame(spark, d, pool)), template=SINGLE, substitutions=k, find_best=best, strand=strand).table
+            return C.count_single(_reads(spark, d, reads), _pool(spark, d, pool), template=SINGLE, substitutions=k, find_best=best, strand=strand).table
 
         make = O.iupac_pool if pool == "pool_iupac" else O.plain_pool
         ctes = [*O.source("reads", reads), *make("pool", pool), *O.single("m", "reads", "seq", SINGLE, "pool", k, best, strand)]
@@ -109,7 +114,7 @@ def _singles() -> None:
 def _matches() -> None:
     for name, pool, k, reverse in (("match_sub0", "pool", 0, False), ("match_sub1", "pool", 1, False), ("match_reverse", "pool", 1, True), ("match_iupac", "pool_iupac", 1, False)):
         def query(spark, d, pool=pool, k=k, reverse=reverse):
-            return C.match_barcodes(frame(spark, d, "queries"), Pool(frame(spark, d, pool)), k, reverse)
+            return C.match_barcodes(frame(spark, d, "queries"), _pool(spark, d, pool), k, reverse)
 
         make = O.iupac_pool if pool == "pool_iupac" else O.plain_pool
         v = "reverse(translate(seq, 'ACGT', 'TGCA'))" if reverse else "seq"

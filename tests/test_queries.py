@@ -31,3 +31,19 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(queries.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["match_iupac", "single_iupac"])
+def test_overlapping_iupac_barcodes(spark, tmp_path, name):
+    con = duckdb.connect()
+    for t in TABLES.split():
+        source = f"SELECT * FROM '{SF}/{t}.parquet'"
+        if t == "supplier":  # 16,000 apart, barcodes differ in the fourth base alone, which codes stand for
+            source += f" UNION ALL SELECT * REPLACE (s_suppkey + 16000 AS s_suppkey) FROM '{SF}/{t}.parquet'"
+        con.execute(f"COPY ({source}) TO '{tmp_path}/{t}.parquet'")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, str(tmp_path))
+    found = con.execute(queries.SQL[name])
+    order = [[c[0] for c in found.description].index(c) for c in df.columns]
+    want = [tuple(r[i] for i in order) for r in found.fetchall()]
+    assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))
