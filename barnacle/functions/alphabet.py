@@ -68,15 +68,6 @@ def mismatches(digits: Column, offset, text: str) -> Column:
     return out.cast("int")
 
 
-def distance(digits: Column, masks: Column, length: int) -> Column:
-    """Mismatches of two columns of equal length: a read's digits and a barcode's masks as digits."""
-    out = F.lit(length)
-    for i in range(0, length, WORD):
-        n = min(WORD, length - i)
-        out = out - F.bit_count(word(digits, i, n).bitwiseAND(word(masks, i, n)))
-    return out.cast("int")
-
-
 def mask_digits(c: Column) -> Column:
     """A barcode's codes as hexadecimal digits."""
     return F.translate(folded(c), IUPAC, BITS)

@@ -64,10 +64,11 @@ def _places(found: Column, joined: bool = False) -> Column:
     return F.transform(found, lambda h: F.struct(F.array(h["cm"], F.lit(0)).alias("c"), v(h).alias("v")))
 
 
-def matches(reads: DataFrame, roles: Sequence[Role]) -> DataFrame:
+def matches(reads: DataFrame, roles: Sequence[Role], kept: bool = False) -> DataFrame:
     """sample if reads have it, w (reads that are alike), and for each role n: a struct m{n} of idx (an array) and total, null where it found nothing.
 
-    Only reads with a match of some role.
+    Only reads with a match of some role. kept: the sums of reads stay cached until the session's end or clearCache(), for reads whose scan Spark doesn't
+    share between branches.
     """
     by, pools = _by(reads), []
     for r in roles:
@@ -78,6 +79,7 @@ def matches(reads: DataFrame, roles: Sequence[Role]) -> DataFrame:
     tagged = [F.transform(r.places, tag(n)) for n, r in enumerate(roles)]
     key = tagged[0] if len(tagged) == 1 else F.concat(*tagged)
     alike = reads.select(*by, key.alias("key")).groupBy(*by, "key").agg(F.count("*").alias("w"))
+    alike = alike.persist() if kept else alike
     keys = [*by, "key", "w"]
     at = [*keys, "role", "place", "c"]
     regions = max(len(r.pools) for r in roles)
@@ -89,7 +91,12 @@ def matches(reads: DataFrame, roles: Sequence[Role]) -> DataFrame:
     else:
         rows = rows.select(*at, F.lit(0).alias("region"), F.col("v")[0].alias("v"), own[0].alias("pool"))
     policy = F.array(*(F.lit(p.policy) for p in pools))[F.col("pool")]
-    near = nearest(within(rows, pools, [caps[n] for n in range(len(pools))]), [*at, "region", "pool"], policy)
+    # each different region is looked up once; mismatches so far matter to that only where segments have caps of their own, else the budget sees to them
+    what = ["pool", "v", *(["c"] if any(len(p.segments) > 1 for p in pools) else [])]
+    # w is asked for so that the sums are those that it's joined with below, exchanged once: without w they'd be others, from a scan of their own
+    asked = rows.groupBy(*what).agg(F.max("w").alias("most")).where("most > 0").select(*what)
+    asked = asked if "c" in what else asked.withColumn("c", F.array(F.lit(0), F.lit(0)))
+    near = rows.join(nearest(within(asked, pools, [caps[n] for n in range(len(pools))]), what, policy), what)
     total = F.col("c")[0] + F.col("c")[1]
     budget = F.array(*(F.lit(r.budget) for r in roles))[F.col("role")]
     if regions > 1:
@@ -303,11 +310,11 @@ def _invalid(by: list[str], found: DataFrame, rows: DataFrame, names: list[str],
     return found.select(*by, F.lit(None).cast("long").alias("idx"), "i0", "i1", *names, *extra, "counts", F.lit(False).alias("valid"))
 
 
-def count_dual(reads: DataFrame, choices, template: str, substitutions: int = 0, find_best: bool = False, strand: str = "both", include_invalid: bool = False) -> CountResult:
+def count_dual(reads: DataFrame, choices, template: str, substitutions: int = 0, find_best: bool = False, strand: str = "both", include_invalid: bool = False, kept: bool = False) -> CountResult:
     """counts of each row of choices in single-end reads; metadata nreads.
 
     include_invalid adds the combinations that no row has, of reads without a valid one, in the order of i0 and i1, with `valid`, and
-    invalid_reads. A read that is ambiguous between rows may turn up there with a combination that a row has.
+    invalid_reads. A read that is ambiguous between rows may turn up there with a combination that a row has. kept: as in matches().
     """
     rows, names, every = _rows(choices, reads)
     t = Template.of(template, len(names))
@@ -321,7 +328,7 @@ def count_dual(reads: DataFrame, choices, template: str, substitutions: int = 0,
     roles = [Role(_places(F.col("hits"), len(names)), [_both(rows, names)], [substitutions], find_best, substitutions)]
     if include_invalid:
         roles.append(Role(_places(F.col("hits")), sides, [substitutions], find_best, substitutions))
-    found = matches(searched, roles)
+    found = matches(searched, roles, kept)
     table = _dense(reads, found.withColumn("idx", _idx(0)), rows, every)
     if not include_invalid:
         return CountResult(table, _totals(reads, "nreads"))
@@ -345,7 +352,7 @@ def _pair_places(columns: tuple[str, str], templates, reverse, ks) -> Column:
     return F.flatten(F.transform(one, lambda a: F.transform(two, lambda b: pair(a, b))))
 
 
-def count_dual_paired(reads: DataFrame, choices, flank5=None, flank3=None, template=None, substitutions=0, find_best: bool = False, strand="original", randomized: bool = False, include_invalid: bool = False) -> CountResult:
+def count_dual_paired(reads: DataFrame, choices, flank5=None, flank3=None, template=None, substitutions=0, find_best: bool = False, strand="original", randomized: bool = False, include_invalid: bool = False, kept: bool = False) -> CountResult:
     """counts of each row of choices (two columns) in read pairs; metadata npairs, and with include_invalid as in count_dual()."""
     rows, names, every = _rows(choices, reads)
     if len(names) != 2:
@@ -360,7 +367,7 @@ def count_dual_paired(reads: DataFrame, choices, flank5=None, flank3=None, templ
     roles = [Role(_pair_places(c, templates, reverse, ks), [pool], ks, find_best, sum(ks), keep_ties=randomized) for c in turns]
     if include_invalid:
         roles += _combo_paired(templates, sides, reverse, ks, find_best, randomized)
-    found = matches(reads, roles)
+    found = matches(reads, roles, kept)
     idx = _idx(0)
     if randomized and find_best:
         none = sum(ks) + 1

@@ -18,7 +18,8 @@ POLICIES = ("error", "first", "last", "none")
 
 
 class Pool:
-    """frame: idx (0-based), barcode (as given), masks (digits) and whether it's wild; length: of every barcode; segments: their lengths."""
+    """frame: idx (0-based), barcode (as given), masks (digits) and whether it's wild; different: a row for each different barcode, with the lowest and the
+    highest idx of equal ones; length: of every barcode; segments: their lengths; size: sequences that barcodes stand for, wild ones left out."""
 
     def __init__(self, frame: DataFrame, check: str = "error", segments: Sequence[int] | None = None):
         """frame: idx and barcode. check: one of POLICIES, which also settles ties between different barcodes. Reads frame once, and once more for `error` if it has IUPAC codes."""
@@ -26,13 +27,18 @@ class Pool:
             raise ValueError(f"unknown duplicate policy {check!r}")
         self.policy = check
         self.frame = frame.select(F.col("idx").cast("long"), "barcode", mask_digits(F.col("barcode")).alias("masks"), F.coalesce(n_expansions(F.col("barcode")) > WILD, F.lit(False)).alias("wild"))
-        stats = self.frame.agg(F.min(F.length("barcode")).alias("a"), F.max(F.length("barcode")).alias("b"), F.first(F.when(folded(F.col("barcode")).rlike(f"[^{IUPAC}]"), F.col("barcode")), ignorenulls=True).alias("odd"), F.count_if(F.col("barcode").isNull()).alias("nulls"), F.count_if("wild").alias("wild"), F.max(n_expansions(F.col("barcode"))).alias("most"), F.count("*").alias("n"), F.count_distinct(folded(F.col("barcode"))).alias("different")).first()
+        stats = self.frame.agg(F.min(F.length("barcode")).alias("a"), F.max(F.length("barcode")).alias("b"), F.first(F.when(folded(F.col("barcode")).rlike(f"[^{IUPAC}]"), F.col("barcode")), ignorenulls=True).alias("odd"), F.count_if(F.col("barcode").isNull()).alias("nulls"), F.count_if("wild").alias("wild"), F.sum(F.when(~F.col("wild"), n_expansions(F.col("barcode")))).alias("size"), F.max(n_expansions(F.col("barcode"))).alias("most"), F.count("*").alias("n"), F.count_distinct(folded(F.col("barcode"))).alias("different")).first()
         if stats["a"] != stats["b"]:
             raise ValueError("variable regions must have the same length")
         if stats["odd"] is not None or stats["nulls"]:
             raise ValueError(f"unknown base in barcode {stats['odd']!r}")
         self.length, self.wild = stats["a"] or 0, stats["wild"]
         self.segments = list(segments) if segments else [self.length]
+        self.size = (stats["size"] or 0.0) * stats["different"] / (stats["n"] or 1)
+        if stats["n"] == stats["different"]:
+            self.different = self.frame.select(F.col("idx").alias("low"), F.col("idx").alias("high"), "barcode", "masks", "wild")
+        else:
+            self.different = self.frame.groupBy("masks", "wild").agg(F.min("idx").alias("low"), F.max("idx").alias("high"), F.min("barcode").alias("barcode"))
         # of plain barcodes, only equal ones can match the same sequence
         clean = stats["n"] == stats["different"] and (stats["most"] or 1) == 1
         if check == "error" and not clean and (found := duplicates(self).orderBy("first", "second").first()):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from barnacle.operators import counters as C
 from barnacle.operators.matrix import combine_combo_counts, matrix_of
 from barnacle.operators.pool import Pool
+from barnacle.operators.resolve import nearest, seed_places, within
 from barnacle.plans.template import Template, parse_template
 
 T = "ACGTNNNNNNNNNNTGCA"
@@ -200,3 +201,44 @@ def test_parse():
 def test_reads_may_hold_anything(spark):
     df = reads(spark, ["ß" * 30, "é" + wrap("G" * 10), None, "\r\n" + wrap("G" * 10)]).withColumn("idx", F.lit(1))
     assert counts(C.count_single(df, HOMO, template=T)) == [0, 0, 2, 0]
+
+
+def test_equal_regions_are_looked_up_once(spark):
+    # 4,000 reads, 80 of 50 regions each, two barcodes in ten copies: candidates are pairs of different regions and barcodes
+    x, y = ["".join("ACGT"[i // 4**j % 4] for j in range(6)) for i in range(80)], ["".join("ACGT"[i // 4**j % 4] for j in range(5)) for i in range(50)]
+    df = reads(spark, ["ACGT" + a + "TT" + b + "GGCA" for a in x for b in y])
+    rows = {"x": [a for a in x for _ in range(10)], "y": [y[i % 50] for i in range(800)]}
+    r = C.count_dual(df, rows, "ACGT" + "N" * 6 + "TT" + "N" * 5 + "GGCA", 0, strand="original", include_invalid=True)
+    assert sum(r["counts"] for r in r.table.collect()) == 4000 and total(r, "invalid_reads") == 4000 - len(set(zip(rows["x"], rows["y"])))
+    seen = []
+    inner = C.within
+    try:
+        C.within = lambda rows, *a: seen.append(inner(rows, *a)) or seen[-1]
+        C.count_dual(df, rows, "ACGT" + "N" * 6 + "TT" + "N" * 5 + "GGCA", 0, strand="original", include_invalid=True)
+    finally:
+        C.within = inner
+    assert seen[0].where("pool > 0").count() == 80 + 50
+
+
+@pytest.mark.parametrize("policy", ["first", "last", "none"])
+@pytest.mark.parametrize(("segments", "caps"), [([5], [1]), ([5], [2]), ([5], [0]), ([3, 2], [1, 1]), ([3, 2], [1, 0]), ([3, 2], [2, 1])])
+def test_nearest_in_a_crowded_pool(spark, policy, segments, caps):
+    # a pool that fills most of its space has more parts than k + 1; its equal barcodes are one candidate
+    text = lambda i: "".join("ACGT"[i // 4**j % 4] for j in range(5))
+    barcodes = [text(i * 37 % 700) for i in range(900)]
+    pool = Pool(spark.createDataFrame(list(enumerate(barcodes)), "idx long, barcode string"), policy, segments)
+    assert all(len({a for a, b in places for a in range(a, b)}) for places in seed_places(pool, caps))
+    asked = [text(i) for i in range(0, 1024, 9)]
+    rows = spark.createDataFrame([(v, 0, [0, 0]) for v in asked], "v string, pool int, c array<int>")
+    got = {r["v"]: (r["idx"], r["d"]) for r in nearest(within(rows, [pool], [caps]), ["v"], F.lit(policy)).collect()}
+    edges, want = [0, *(sum(segments[: i + 1]) for i in range(len(segments)))], {}
+    for v in asked:
+        near = []
+        for i, b in enumerate(barcodes):
+            each = [sum(x != y for x, y in zip(v[s:e], b[s:e])) for s, e in zip(edges, edges[1:])]
+            if all(d <= k for d, k in zip(each, caps)):
+                near.append((sum(each), i))
+        best = [i for d, i in near if d == min(near)[0]]
+        if best and (policy != "none" or len(best) == 1):
+            want[v] = ({"first": min(best), "last": max(best), "none": best[0]}[policy], min(near)[0])
+    assert got == want
