@@ -129,14 +129,19 @@ def matrix_of_random(spark: SparkSession, files: Sequence[str], template: str, *
 
 
 def combine_combo_counts(tables: dict[str, DataFrame]) -> DataFrame:
-    """A row for each combination of any table (combinations, counts), sorted, with a column of counts for each table."""
+    """A row for each combination of any table (combinations, counts), sorted, with a column of counts for each table.
+
+    Tables are read once, for the check; their counts stay cached, on disk where memory is short, until the session's end or clearCache().
+    """
     if not tables:
         raise ValueError("no tables")
     every = None
     for name, t in tables.items():
         t = t.select("combinations", F.col("counts").cast("long"), F.lit(name).alias("origin"))
         every = t if every is None else every.unionByName(t)
-    if every.groupBy("origin", "combinations").count().where("count > 1").limit(1).count():
+    every = every.groupBy("origin", "combinations").agg(F.sum("counts").alias("counts"), F.count("*").alias("rows")).persist()
+    if every.where("rows > 1").limit(1).count():
+        every.unpersist()
         raise ValueError("barcode combinations should be unique within each DataFrame in 'tables'")
     names = list(tables)
     return every.groupBy("combinations").pivot("origin", names).agg(F.sum("counts")).fillna(0, names).orderBy("combinations")

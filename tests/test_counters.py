@@ -203,6 +203,20 @@ def test_reads_may_hold_anything(spark):
     assert counts(C.count_single(df, HOMO, template=T)) == [0, 0, 2, 0]
 
 
+def test_combined_tables_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    rows = spark.createDataFrame([(("A", "B"), 1), (("C", "D"), 2)], "combinations struct<x:string,y:string>, counts long")
+    rows = rows.coalesce(1).mapInPandas(counted, rows.schema)
+    assert [(tuple(r["combinations"]), r["p"]) for r in combine_combo_counts({"p": rows}).collect()] == [(("A", "B"), 1), (("C", "D"), 2)]
+    assert made.value == 2
+
+
 def test_equal_regions_are_looked_up_once(spark):
     # 4,000 reads, 80 of 50 regions each, two barcodes in ten copies: candidates are pairs of different regions and barcodes
     x, y = ["".join("ACGT"[i // 4**j % 4] for j in range(6)) for i in range(80)], ["".join("ACGT"[i // 4**j % 4] for j in range(5)) for i in range(50)]
