@@ -110,7 +110,8 @@ def _dual(count: Callable, spark: SparkSession, files: Sequence, choices, *args,
         return _matrix(count, spark, files, ["idx", *every], False, choices, *args, **options)
     names = [c for c in every if c != "name"]
     reads, paths = _reads(spark, files)
-    m = _gathered(count(reads, choices, *args, include_invalid=True, **options), paths, names, False)
+    # each branch would parse the files for itself
+    m = _gathered(count(reads, choices, *args, include_invalid=True, kept=True, **options), paths, names, False)
     valid = (choices if frame else spark.createDataFrame(list(zip(*choices.values())), ", ".join(f"`{n}` string" for n in names))).select(*(F.col(n).cast("string") for n in names)).distinct().withColumn("valid", F.lit(True))
     flagged = lambda df: df.join(valid, names, "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
     return CountMatrix(flagged(m.counts), flagged(m.row_data), m.col_data, [*names, "valid"])

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barnacle.operators import counters as C
-from barnacle.operators.matrix import combine_combo_counts, matrix_of
+from barnacle.operators.matrix import combine_combo_counts, matrix_of, matrix_of_dual
 from barnacle.operators.pool import Pool
 from barnacle.operators.resolve import nearest, seed_places, within
 from barnacle.plans.template import Template, parse_template
@@ -256,3 +256,14 @@ def test_nearest_in_a_crowded_pool(spark, policy, segments, caps):
         if best and (policy != "none" or len(best) == 1):
             want[v] = ({"first": min(best), "last": max(best), "none": best[0]}[policy], min(near)[0])
     assert got == want
+
+
+def test_files_with_invalid_are_summed_once(spark, tmp_path, monkeypatch):
+    path = tmp_path / "a.fastq"
+    path.write_text("".join(f"@r\n{x}\n+\n{'I' * len(x)}\n" for x in ("ACGTAAAATTCCCCGGCA", "ACGTAAAATTGGGGGGCA")))
+    kept, inner = [], C.matches
+    monkeypatch.setattr(C, "matches", lambda reads, roles, keep=False: kept.append(keep) or inner(reads, roles, keep))
+    m = matrix_of_dual(spark, [str(path)], {"x": ["AAAA", "CCCC"], "y": ["CCCC", "GGGG"]}, "ACGTNNNNTTNNNNGGCA", include_invalid=True)
+    assert {(r["x"], r["y"], r["valid"]): r["counts"] for r in m.counts.collect()} == {("AAAA", "CCCC", True): 1, ("CCCC", "GGGG", True): 0, ("AAAA", "GGGG", False): 1}
+    plan = m.counts._jdf.queryExecution().executedPlan().toString()
+    assert kept == [True] and "InMemoryTableScan" in plan
