@@ -3,9 +3,9 @@
 Reads are a DataFrame with `seq`, or `seq1` and `seq2` for pairs, and perhaps `sample`. One scan finds the places of the template in each read,
 on both strands, and what decides a read's match is put in one array: for each place, in the order in which places are tried, the mismatches in the constant bases and
 the variable regions. That is all that is kept of a read; flanks go. Reads are summed by it before anything else, in each task first, so what is shuffled
-is as much as there are different variable regions, and no read is shuffled whole. Everything else happens in the rows of these sums: candidates come
-from a join with the pool, which Spark broadcasts if it's small enough, and the nearest barcode and the first or best place are chosen within
-the sums' own partitioning.
+is as much as there are different variable regions, and no read is shuffled whole. Each different region is then looked up once: candidates
+come from a join with the pool, which Spark broadcasts if it's small enough, and the nearest barcode is joined back to the sums, where the first or best place
+is chosen.
 """
 
 from __future__ import annotations
